@@ -1,8 +1,7 @@
 """The queries over the driver's tables, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import layout_queries, service_queries, text_queries
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES = {**text_queries.QUERIES, **layout_queries.QUERIES, **service_queries.QUERIES}
+SQL = {**text_queries.SQL, **layout_queries.SQL, **service_queries.SQL}
+flagship = text_queries.flagship
