@@ -34,9 +34,9 @@ def lines(runs: DataFrame) -> DataFrame:
     rows = ordered.select(*page, F.explode(F.arrays_zip(F.col("r"), ids.alias("base"))).alias("z")).select(*page, "z.base", "z.r.*")
     along = W.partitionBy(*page, "base").orderBy("x", "run_no")
     gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(along)
-    cut = F.coalesce((gap > 2.0 * F.col("size")).cast("int"), F.lit(0))
-    cells = rows.withColumn("gap", gap).withColumn("cell", F.sum(cut).over(along))
-    piece = F.struct("x", "run_no", F.concat(F.when((F.col("gap") > 0.2 * F.col("size")) & (cut == 0), F.lit(" ")).otherwise(F.lit("")), "text").alias("t"))
+    cut = F.coalesce((F.col("gap") > 2.0 * F.col("size")).cast("int"), F.lit(0))
+    cells = rows.withColumn("gap", gap).withColumn("cut", cut).withColumn("cell", F.sum("cut").over(along))
+    piece = F.struct("x", "run_no", F.concat(F.when((F.col("gap") > 0.2 * F.col("size")) & (F.col("cut") == 0), F.lit(" ")).otherwise(F.lit("")), "text").alias("t"))
     n = F.length("text")
     most = [(2 * F.sum(F.when(F.col(c), n).otherwise(0)) > F.sum(n)).alias(c) for c in ("bold", "italic", "serif")]
     colors = cells.groupBy(*page, "base", "cell", "color").agg(F.sum(n).alias("n"))

@@ -18,8 +18,15 @@ def query(sql: str | None = None):
     return add
 
 
-def _lines(spark, sf):
+def _items(spark, sf):
+    """One line item for each order, supplier and line number, that of the least part."""
     i = table(spark, sf, "lineitem")
+    best = F.row_number().over(W.partitionBy("l_orderkey", "l_suppkey", "l_linenumber").orderBy("l_partkey", "l_quantity", "l_extendedprice"))
+    return i.withColumn("k", best).where("k = 1").drop("k")
+
+
+def _lines(spark, sf):
+    i = _items(spark, sf)
     return i.select(
         F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"), F.col("l_orderkey").alias("n"), F.col("l_orderkey").alias("line_no"), ((F.col("l_partkey") % 4) * 130.0).alias("x"),
         ((F.col("l_partkey") % 4) * 130.0 + 100 + F.col("l_quantity") % 3).alias("right"), (800.0 - (F.col("l_orderkey") % 50) * 14).alias("y"), (10.0 + F.col("l_orderkey") % 2).alias("size"),
@@ -27,8 +34,9 @@ def _lines(spark, sf):
     )
 
 
-_LINES = """l AS (SELECT l_suppkey AS doc_id, l_linenumber AS page_no, l_orderkey AS n, l_orderkey AS line_no, (l_partkey % 4) * 130.0::DOUBLE AS x, (l_partkey % 4) * 130.0::DOUBLE + 100 + l_quantity % 3 AS "right",
-  800.0::DOUBLE - (l_orderkey % 50) * 14 AS y, 10.0::DOUBLE + l_orderkey % 2 AS size, l_returnflag = 'R' AS bold, l_returnflag || ' ' || l_linestatus AS text FROM lineitem)"""
+_ITEMS = "(SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey, l_linenumber ORDER BY l_partkey, l_quantity, l_extendedprice) = 1)"
+_LINES = f"""l AS (SELECT l_suppkey AS doc_id, l_linenumber AS page_no, l_orderkey AS n, l_orderkey AS line_no, (l_partkey % 4) * 130.0::DOUBLE AS x, (l_partkey % 4) * 130.0::DOUBLE + 100 + l_quantity % 3 AS "right",
+  800.0::DOUBLE - (l_orderkey % 50) * 14 AS y, 10.0::DOUBLE + l_orderkey % 2 AS size, l_returnflag = 'R' AS bold, l_returnflag || ' ' || l_linestatus AS text FROM {_ITEMS})"""
 _ONCE = "(doc_id, page_no, y, x)"
 
 
@@ -135,11 +143,11 @@ def point_in_block(spark, sf):
     return ocr.block_of(_points(spark, sf), blocks).select("doc_id", "page_no", "n", F.array_join(F.transform("held", lambda b: b.cast("string")), ",").alias("held"))
 
 
-@query("""WITH c AS (SELECT l_suppkey AS doc_id, l_linenumber AS page_no, l_orderkey AS n, (5 + l_quantity % 7)::DOUBLE AS target FROM lineitem),
+@query(f"""WITH c AS (SELECT l_suppkey AS doc_id, l_linenumber AS page_no, l_orderkey AS n, (5 + l_quantity % 7)::DOUBLE AS target FROM {_ITEMS}),
 g AS (SELECT *, sum(CASE WHEN n - p > 32 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY n) AS k FROM (SELECT *, lag(n) OVER (PARTITION BY doc_id, page_no ORDER BY n) AS p FROM c))
 SELECT doc_id, page_no, n, CASE WHEN count(*) OVER w > 1 THEN greatest(min(target) OVER w, 6) ELSE target END AS size FROM g WINDOW w AS (PARTITION BY doc_id, page_no, k)""")
 def table_components(spark, sf):
-    i = table(spark, sf, "lineitem")
+    i = _items(spark, sf)
     cells = i.select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"), F.col("l_orderkey").alias("n"), F.lit(10.0).alias("base"), (5 + F.col("l_quantity") % 7).alias("target"))
     a, b = cells.select("doc_id", "page_no", F.col("n").alias("a")), cells.select("doc_id", "page_no", F.col("n").alias("b"))
     edges = a.join(b, ["doc_id", "page_no"]).where((F.col("a") < F.col("b")) & (F.col("b") - F.col("a") <= 32))
