@@ -44,6 +44,11 @@ def strip(x) -> Column:
     return F.regexp_replace(F.regexp_replace(col(x), rf"^{WS}+", ""), rf"{WS}+$", "")
 
 
+def blank(x) -> Column:
+    """Whether ``strip`` leaves nothing; the search ends at the first other character."""
+    return ~col(x).rlike("[^" + WS[1:])
+
+
 def squeeze(x) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(col(x), rf"{WS}+", " "))
@@ -128,8 +133,8 @@ def sentences(x) -> Column:
         return F.when((F.size(done) > 0) & ends_in_abbreviation(last), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, piece)))).otherwise(F.concat(done, F.array(piece)))
 
     made = F.aggregate(pieces(x), F.array().cast("array<string>"), lambda done, p: F.when(F.size(done) == 0, F.array(p)).otherwise(add(done, p)))
-    kept = F.filter(made, lambda s: strip(s) != "")
-    return F.when(strip(x) == "", F.array(col(x))).otherwise(kept)
+    kept = F.filter(made, lambda s: ~blank(s))
+    return F.when(blank(x), F.array(col(x))).otherwise(kept)
 
 
 def marker(line) -> Column:
