@@ -92,7 +92,7 @@ _CJKN = f"len(regexp_extract_all(text, '{T.CJK}'))"
 
 
 @query(f"""WITH o AS (SELECT doc_id, lang, text, CASE doc_id % 4 WHEN 0 THEN text || text || text || repeat('x', 20) WHEN 1 THEN text || ' [[x]]' WHEN 2 THEN text || '的' ELSE text || '!' END AS out FROM documents)
-SELECT doc_id, length(text) + 1.5 * {_CJKN} AS weighted, NOT (length(out) > 2.0 * (length(text) + 1.5 * {_CJKN}) + 15 OR (regexp_matches(out, '{T.WIKI}') AND NOT regexp_matches(text, '{T.WIKI}')) OR (regexp_matches(out, '{T.CJK}') AND NOT regexp_matches(text, '{T.CJK}') AND lang <> 'fr')) AS kept FROM o""")
+SELECT doc_id, (length(text) + 1.5 * {_CJKN})::DOUBLE AS weighted, NOT (length(out) > 2.0 * (length(text) + 1.5 * {_CJKN}) + 15 OR (regexp_matches(out, '{T.WIKI}') AND NOT regexp_matches(text, '{T.WIKI}')) OR (regexp_matches(out, '{T.CJK}') AND NOT regexp_matches(text, '{T.CJK}') AND lang <> 'fr')) AS kept FROM o""")
 def guarded_output(spark, sf):
     m = F.col("doc_id") % 4
     out = F.when(m == 0, F.concat("text", "text", "text", F.lit("x" * 20))).when(m == 1, F.concat("text", F.lit(" [[x]]"))).when(m == 2, F.concat("text", F.lit("的"))).otherwise(F.concat("text", F.lit("!")))
