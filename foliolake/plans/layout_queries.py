@@ -204,9 +204,7 @@ def staff_spans(spark, sf):
 
 @query(f"""WITH {_WORDS}, t AS (SELECT *, lower(text) AS lw FROM w) SELECT doc_id, round(avg(conf), 6) AS conf FROM t GROUP BY 1""")
 def page_confidence(spark, sf):
-    words = _words(spark, sf).withColumn("text", F.regexp_replace("text", r"[.·…]{2,}", "."))
-    words = words.withColumn("text", F.substring("text", 1, 11))  # no word of a leader's length, so each counts
-    return ocr.mean_confidence(words, "doc_id").select("doc_id", F.round("conf", 6).alias("conf"))
+    return ocr.mean_confidence(_words(spark, sf), "doc_id").select("doc_id", F.round("conf", 6).alias("conf"))
 
 
 @query()

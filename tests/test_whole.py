@@ -1,0 +1,28 @@
+"""Queries and operators do the whole job: no row or word is left out on the way."""
+
+from foliolake.plans import layout_queries
+
+
+def folder(spark, path, **tables):
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def leader(word):
+    """The leader rule in plain Python."""
+    w = word.lower()
+    two = sum(sorted((w.count(c) for c in set(w)), reverse=True)[:2])
+    dots = [c in ".·…" for c in w]
+    four = any(all(dots[i : i + 4]) for i in range(len(w) - 3))
+    return (len(w) >= 2 and all(dots)) or four or (len(w) >= 12 and two >= 0.7 * len(w))
+
+
+def test_page_confidence_leaves_leaders_out(spark, tmp_path):
+    texts = ["Chapter one ........ 12", "word ceessesessesess internationalization", "plain words only", ".... ······"]
+    sf = folder(spark, tmp_path, documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = {}
+    for d, t in enumerate(texts):
+        conf = [float((d * 31 + i * 17) % 100) for i, w in enumerate(t.split(" ")) if not leader(w)]
+        want[d] = round(sum(conf) / len(conf), 6) if conf else 0.0
+    assert {r["doc_id"]: r["conf"] for r in layout_queries.page_confidence(spark, sf).collect()} == want
