@@ -77,9 +77,10 @@ def paragraphs(lines_: DataFrame) -> DataFrame:
 
     Near: below the last line by up to 1.8 of the larger size, or 1.25 of the
     page's usual spacing. Aligned: left edges or centres within 3 points, or
-    an indent of 40. Alike: sizes within a fifth, the same weight.
+    an indent of 40. Alike: sizes within a fifth, the same weight. Lines at
+    one place follow each other by line_no.
     """
-    along = W.partitionBy(*PAGE).orderBy(F.desc("y"), "x")
+    along = W.partitionBy(*PAGE).orderBy(F.desc("y"), "x", "line_no")
     got = lines_.join(line_spacing(lines_), list(PAGE))
     before = {c: F.lag(c).over(along) for c in ("x", "right", "y", "size", "bold", "text")}
     gap, larger = before["y"] - F.col("y"), F.greatest(F.col("size"), before["size"])
@@ -101,7 +102,7 @@ def paragraph_figures(lines_: DataFrame) -> DataFrame:
     base_size is the commonest, at a tie the first seen; justified: three
     lines and more whose right edges, but for the last, lie within 4 points.
     """
-    along = W.partitionBy(*PAGE, "para_no").orderBy(F.desc("y"), "x")
+    along = W.partitionBy(*PAGE, "para_no").orderBy(F.desc("y"), "x", "line_no")
     numbered = lines_.withColumns({"nth": F.row_number().over(along), "n": F.count("*").over(W.partitionBy(*PAGE, "para_no"))})
     sizes = numbered.groupBy(*PAGE, "para_no", "size").agg(F.count("*").alias("c"), F.min("nth").alias("f"))
     base = sizes.groupBy(*PAGE, "para_no").agg(F.max_by("size", F.struct("c", (-F.col("f")).alias("f"))).alias("base_size"))

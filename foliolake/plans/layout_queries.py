@@ -26,9 +26,18 @@ def _items(spark, sf):
 
 
 def _lines(spark, sf):
-    i = _items(spark, sf)
+    return _placed(_items(spark, sf).withColumn("line_no", F.col("l_orderkey")))
+
+
+def _all_lines(spark, sf):
+    """Every line item, numbered within its page by order, then part."""
+    nth = F.row_number().over(W.partitionBy("l_suppkey", "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"))
+    return _placed(table(spark, sf, "lineitem").withColumn("line_no", nth))
+
+
+def _placed(i):
     return i.select(
-        F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"), F.col("l_orderkey").alias("n"), F.col("l_orderkey").alias("line_no"), ((F.col("l_partkey") % 4) * 130.0).alias("x"),
+        F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"), F.col("l_orderkey").alias("n"), "line_no", ((F.col("l_partkey") % 4) * 130.0).alias("x"),
         ((F.col("l_partkey") % 4) * 130.0 + 100 + F.col("l_quantity") % 3).alias("right"), (800.0 - (F.col("l_orderkey") % 50) * 14).alias("y"), (10.0 + F.col("l_orderkey") % 2).alias("size"),
         (F.col("l_returnflag") == "R").alias("bold"), F.concat(F.col("l_returnflag"), F.lit(" "), F.col("l_linestatus")).alias("text"),
     )
@@ -38,20 +47,13 @@ _ITEMS = "(SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orde
 _LINES = f"""l AS (SELECT l_suppkey AS doc_id, l_linenumber AS page_no, l_orderkey AS n, l_orderkey AS line_no, (l_partkey % 4) * 130.0::DOUBLE AS x, (l_partkey % 4) * 130.0::DOUBLE + 100 + l_quantity % 3 AS "right",
   800.0::DOUBLE - (l_orderkey % 50) * 14 AS y, 10.0::DOUBLE + l_orderkey % 2 AS size, l_returnflag = 'R' AS bold, l_returnflag || ' ' || l_linestatus AS text FROM {_ITEMS})"""
 _ONCE = "(doc_id, page_no, y, x)"
-
-
-def _distinct(df):
-    """One line at a place, so that orders are sure."""
-    return df.withColumn("k", F.row_number().over(W.partitionBy("doc_id", "page_no", "y", "x").orderBy("n"))).where("k = 1").drop("k")
-
-
 _D = "d AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY doc_id, page_no, y, x ORDER BY n) = 1)"
 _SPACING = "sp AS (SELECT doc_id, page_no, min(g) AS g FROM (SELECT doc_id, page_no, round_even(gap * 2, 0) / 2 AS g FROM (SELECT *, lag(y) OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, x) - y AS gap FROM d) WHERE gap > 0 GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL)"
 
 
 @query(f"WITH {_LINES}, {_D}, {_SPACING} SELECT DISTINCT d.doc_id, d.page_no, coalesce(g, 0)::DOUBLE AS spacing FROM d LEFT JOIN sp USING (doc_id, page_no)")
 def line_spacing(spark, sf):
-    return layout.line_spacing(_distinct(_lines(spark, sf)))
+    return layout.line_spacing(_all_lines(spark, sf))
 
 
 @query(f"""WITH {_LINES}, e AS (SELECT doc_id, page_no, round_even(x, 0) AS x, round_even("right", 0) AS r, count(*) AS n FROM l GROUP BY ALL)
@@ -74,14 +76,14 @@ _PARAS = f"""{_LINES}, {_D}, {_SPACING}, b AS (
 
 @query(f"WITH {_PARAS} SELECT doc_id, page_no, n, para_no FROM q")
 def paragraph_grouping(spark, sf):
-    return layout.paragraphs(_distinct(_lines(spark, sf))).select("doc_id", "page_no", "n", "para_no")
+    return layout.paragraphs(_all_lines(spark, sf)).select("doc_id", "page_no", "n", "para_no")
 
 
 @query(f"""WITH {_PARAS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, para_no ORDER BY y DESC, x) AS nth, count(*) OVER (PARTITION BY doc_id, page_no, para_no) AS c FROM q),
 s AS (SELECT doc_id, page_no, para_no, size, count(*) AS c, min(nth) AS f FROM r GROUP BY ALL), bs AS (SELECT doc_id, page_no, para_no, arg_max(size, c * 1000000 - f) AS base_size FROM s GROUP BY ALL)
 SELECT doc_id, page_no, para_no, max(c) AS n, coalesce(max(c) >= 3 AND max("right") FILTER (nth < c) - min("right") FILTER (nth < c) <= 4, false) AS justified, string_agg(text, ' ' ORDER BY nth) AS text, any_value(base_size) AS base_size FROM r JOIN bs USING (doc_id, page_no, para_no) GROUP BY doc_id, page_no, para_no""")
 def paragraph_figures(spark, sf):
-    got = layout.paragraph_figures(layout.paragraphs(_distinct(_lines(spark, sf))))
+    got = layout.paragraph_figures(layout.paragraphs(_all_lines(spark, sf)))
     return got.select("doc_id", "page_no", "para_no", "n", F.coalesce("justified", F.lit(False)).alias("justified"), "text", "base_size")
 
 
