@@ -1,7 +1,7 @@
 """Toxicity of noisy text: decode it first, then score what was meant.
 
-A token with look-alike digits and signs, stretched letters, or letters set
-apart is a lattice of the characters it may stand for. Viterbi decoding under
+A token with look-alike digits and signs, doubled or stretched letters, or
+letters set apart is a lattice of the characters it may stand for. Viterbi decoding under
 a character trigram model of the whole corpus, plus the cost of each
 substitution, gives the restored words. Weights of restored words and of
 their beginnings come from labelled documents; the evidence of a document's
@@ -15,6 +15,7 @@ labels of a document the largest counts.
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +38,17 @@ LOOKS = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i",
 }
-#: Costs in nats: a look-alike read as a letter, or as no letter; letters set apart that are joined, for each; a stretched letter read as two.
-READ, NOT_READ, JOIN, TWICE = 1.0, 7.0, 1.0, 0.5
+#: Costs in nats: a look-alike read as a letter, or as no letter; letters set apart that are joined, for each; a stretched letter read as two; two equal letters read as one.
+READ, NOT_READ, JOIN, TWICE, ONCE = 1.0, 7.0, 1.0, 0.5, 4.5
 
 _EDGE = ".,;:?\"'`*&%#~()[]{}<>/\\=^…«»“”„‘’-–—_"
 _RUNS = re.compile(r"^([!$@|+])\1+|([!$@|+])\2+$|!$")
-_STRETCH = re.compile(r"(.)\1\1+")
-_ODD = re.compile("[" + re.escape("".join(LOOKS)) + r"]|(.)\1\1")
-_APART = re.compile(r"^[^\W_](?:([.\-_*·])[^\W_])(?:\1[^\W_])+$")
-_SPACED = re.compile(r"(?<!\S)[^\W_](?: (?:[^\W_]|[@$!+])){2,}(?!\S)")
+_DOUBLED = re.compile(r"(.)\1")
+_ODD = re.compile("[" + re.escape("".join(LOOKS)) + r"]|(.)\1")
+_SIGN = r"(?:[^\W_]|[" + re.escape("".join(c for c in LOOKS if not c.isalnum())) + "])"
+_APART = re.compile(rf"{_SIGN}(?:[.,/\-_*·]+{_SIGN}){{2,}}")
+_SPACED = re.compile(rf"(?<!\S){_SIGN}(?:\s++{_SIGN}){{2,}}(?!\S)")
+_GAPS = re.compile(r"\s+")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 #: Alphabet of the character model: 0 is no letter, then a to z, lower-case Latin-1, and one for all other letters.
@@ -130,22 +133,22 @@ class Decoder:
         return text.strip(), cost
 
     @staticmethod
-    def lattice(token: str) -> list[list[tuple[str, float]]]:
-        out, i = [], 0
-        while i < len(token):
-            c, j = token[i], i
-            while j < len(token) and token[j] == c:
-                j += 1
-            run, reads = j - i, LOOKS.get(c)
-            for _ in range(1 if run > 2 else run):
-                if reads:
-                    out.append([(r, READ) for r in reads] + [(" ", NOT_READ)])
-                elif run > 2:
-                    out.append([(c, 0.0), (c + c, TWICE)])
-                else:
-                    out.append([(c if c.isalpha() else " ", 0.0)])
-            i = j
-        return out
+    def run(c: str, n: int) -> list[list[tuple[str, float]]]:
+        """Readings of a character that stands ``n`` times in a row: one letter, or two."""
+        if c in LOOKS:
+            reads = [(r, READ) for r in LOOKS[c]] + [(" ", NOT_READ)]
+        elif c.isalpha():
+            reads = [(c, 0.0)]
+        else:
+            return [[(" ", 0.0)]]
+        if n == 1:
+            return [reads]
+        again = [*reads, ("", ONCE)] if n == 2 else [*((r, cost + TWICE) for r, cost in reads), ("", 0.0)]
+        return [reads, again]
+
+    @classmethod
+    def lattice(cls, token: str) -> list[list[tuple[str, float]]]:
+        return [options for c, same in groupby(token) for options in cls.run(c, len(list(same)))]
 
     def restore(self, token: str) -> str:
         """The words that a token stands for, in lower case, with single spaces between."""
@@ -159,20 +162,41 @@ class Decoder:
         return got
 
     def _restore(self, token: str) -> str:
-        core = _RUNS.sub("", token.lower().strip(_EDGE)).strip(_EDGE)
-        if core.isalpha() and not _STRETCH.search(core):
+        whole = token.lower().strip(_EDGE)
+        core = _RUNS.sub("", whole).strip(_EDGE)
+        if core.isalpha() and not _DOUBLED.search(core):
             return core
-        if _APART.match(core):
-            return self._joined([c for c in core if c.isalnum() or c in LOOKS])
-        if _ODD.search(core) and any(c.isalpha() for c in core):
+        for t in (whole, core):
+            if _APART.fullmatch(t):
+                return self._joined([c for c in t if c.isalnum() or c in LOOKS])[0]
+        if _ODD.search(core):
             core = self.viterbi(self.lattice(core))[0]
         return " ".join(_WORDS.findall(core))
 
-    def _joined(self, letters: list[str]) -> str:
-        """Letters set apart as one word, unless they are likelier as they stand."""
-        joined, cost = self.viterbi(self.lattice("".join(letters)))
+    def _joined(self, letters: list[str]) -> tuple[str, float]:
+        """Letters set apart as one word, unless they are likelier as they stand; and the cost."""
+        lattice = self.lattice("".join(letters))
+        if letters[-1] == "!":
+            lattice[-1] = [*lattice[-1], ("", 0.0)]  # a mark at the end
+        joined, cost = self.viterbi(lattice)
+        cost += JOIN * (len(letters) - 1)
         apart = [self.viterbi(self.lattice(c)) for c in letters]
-        return joined if cost + JOIN * (len(letters) - 1) < sum(c for _, c in apart) else " ".join(w for w, _ in apart if w)
+        if cost >= sum(c for _, c in apart):
+            joined, cost = " ".join(w for w, _ in apart if w), sum(c for _, c in apart)
+        return " ".join(joined.split()), cost
+
+    def _spaced(self, found: str) -> list[tuple[str, float]]:
+        """Readings of letters set apart by white space: all as one word, and, where gaps differ, one word from each wider gap to the next."""
+        letters, gaps = found.lower().split(), [len(g) for g in _GAPS.findall(found)]
+        out, least, group = [self._joined(letters)], min(gaps), [[letters[0]]]
+        for c, gap in zip(letters[1:], gaps, strict=True):
+            if gap > least:
+                group.append([])
+            group[-1].append(c)
+        if len(group) > 1:
+            parts = [self._joined(g) for g in group]
+            out.append((" ".join(w for w, _ in parts if w), sum(c for _, c in parts)))
+        return out
 
     def words(self, text: str | None) -> set[str]:
         """Distinct restored words of a whole text."""
@@ -183,7 +207,8 @@ class Decoder:
             if got:
                 found.update(got.split(" "))
         for m in _SPACED.finditer(text):
-            found.update(self._joined(m[0].lower().split(" ")).split(" "))
+            for got, _ in self._spaced(m[0]):
+                found.update(got.split(" "))
         found.discard("")
         return found
 
@@ -191,7 +216,7 @@ class Decoder:
         """The restored text as a whole, words in order."""
         if not text:
             return ""
-        spaced = _SPACED.sub(lambda m: self._joined(m[0].lower().split(" ")), text)
+        spaced = _SPACED.sub(lambda m: min(self._spaced(m[0]), key=lambda r: r[1])[0], text)
         return " ".join(w for w in map(self.restore, spaced.split()) if w)
 
 

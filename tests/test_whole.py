@@ -2,6 +2,10 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
+
+from foliolake.llm import toxicity
 from foliolake.plans import layout_queries
 
 
@@ -68,3 +72,27 @@ def test_lines_at_one_place_all_count(spark, tmp_path):
     assert {(r["doc_id"], r["page_no"]): r["spacing"] for r in layout_queries.line_spacing(spark, sf).collect()} == spacing
     figures = {(r["doc_id"], r["page_no"], r["para_no"]): (r["n"], r["text"]) for r in layout_queries.paragraph_figures(spark, sf).collect()}
     assert figures == {k: (len(lines), " ".join(r["text"] for r in lines)) for k, lines in want.items()}
+
+
+@pytest.fixture(scope="module")
+def decoder():
+    text = " ".join(["you are an idiot and a stupid loser, no class at all, such an ass; the letter of the little pass"] * 200)
+    codes, n = toxicity._code_table(), np.zeros(toxicity.SYMBOLS**3)
+    s = codes[np.minimum(np.frombuffer(f"  {text}  ".encode("utf-32-le"), dtype="<u4"), 0x250)]
+    np.add.at(n, (s[:-2] * toxicity.SYMBOLS + s[1:-1]) * toxicity.SYMBOLS + s[2:], 1)
+    return toxicity.Decoder(-np.log((n + 0.01) / (n.reshape(-1, toxicity.SYMBOLS).sum(1).repeat(toxicity.SYMBOLS) + 1)))
+
+
+def test_doubled_letters_are_decoded(decoder):
+    assert [decoder.restore(t) for t in ("iddiot", "stuupid", "1ddiot", "letter", "little", "pass")] == ["idiot", "stupid", "idiot", "letter", "little", "pass"]
+
+
+def test_look_alikes_stand_anywhere_in_letters_set_apart(decoder):
+    tokens = ("i.d.!.o.t", "$.t.u.p.i.d", "i/d/i/o/t", "i,d,i,o,t", "l-0-$-e-r", "i.d.i.o.t!", "!.d.i.o.t")
+    assert [decoder.restore(t) for t in tokens] == ["idiot", "stupid", "idiot", "idiot", "loser", "idiot", "idiot"]
+    assert decoder.restore("455") == "ass"
+
+
+@pytest.mark.parametrize("text", ["$ t u p i d", "s  t  u  p  i  d", "s\tt\tu\tp\ti\td", "s\nt\nu\np\ni\nd", "s t  u p   ! d", "i d i o t  s t u p i d"])
+def test_any_white_space_sets_letters_apart(decoder, text):
+    assert "stupid" in decoder.words(text)
