@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from foliolake.llm import toxicity
+from foliolake.operators import layout
 from foliolake.plans import layout_queries
 
 
@@ -96,3 +97,12 @@ def test_look_alikes_stand_anywhere_in_letters_set_apart(decoder):
 @pytest.mark.parametrize("text", ["$ t u p i d", "s  t  u  p  i  d", "s\tt\tu\tp\ti\td", "s\nt\nu\np\ni\nd", "s t  u p   ! d", "i d i o t  s t u p i d"])
 def test_any_white_space_sets_letters_apart(decoder, text):
     assert "stupid" in decoder.words(text)
+
+
+def test_long_chains_are_one_component(spark):
+    """A page of 300 cells in one chain, in an order that label by label goes hop by hop, and a page of pairs."""
+    cells = [(1, 1, n, 10.0, 7.0 if n == 299 else 9.0) for n in range(300)] + [(1, 2, n, 10.0, 7.0 + n % 2) for n in range(20)] + [(1, 3, 1, 10.0, 3.0)]
+    edges = [(1, 1, n, n + 1) for n in range(299)] + [(1, 2, n, n + 1) for n in range(0, 20, 2)]
+    made = layout.levelled(spark.createDataFrame(cells, "doc_id int, page_no int, n int, base double, target double"), spark.createDataFrame(edges, "doc_id int, page_no int, a int, b int"))
+    got = {(r["page_no"], r["n"]): r["size"] for r in made.collect()}
+    assert got == {**{(1, n): 7.0 for n in range(300)}, **{(2, n): 7.0 for n in range(20)}, (3, 1): 3.0}
