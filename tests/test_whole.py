@@ -1,5 +1,7 @@
 """Queries and operators do the whole job: no row or word is left out on the way."""
 
+import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -7,7 +9,7 @@ import pytest
 
 from foliolake.llm import toxicity
 from foliolake.operators import layout
-from foliolake.plans import layout_queries
+from foliolake.plans import layout_queries, text_queries
 
 
 def folder(spark, path, **tables):
@@ -106,3 +108,22 @@ def test_long_chains_are_one_component(spark):
     made = layout.levelled(spark.createDataFrame(cells, "doc_id int, page_no int, n int, base double, target double"), spark.createDataFrame(edges, "doc_id int, page_no int, a int, b int"))
     got = {(r["page_no"], r["n"]): r["size"] for r in made.collect()}
     assert got == {**{(1, n): 7.0 for n in range(300)}, **{(2, n): 7.0 for n in range(20)}, (3, 1): 3.0}
+
+
+def digest(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+DASHED = ["A-ve Ma - ri - a to you", "no hyphen in time", "1 - 2 and x - 3", "-a b- c--d", "a\n-\nb ä - ö", "_ a __ b", "", "one – two of three", "one — two of three – four", "one - two of three", "of of a of b", "x —y of z"]
+
+
+def test_documents_with_hyphens_and_dashes_count(spark, tmp_path):
+    sf = folder(spark, tmp_path, documents=spark.createDataFrame(list(enumerate(DASHED)), "doc_id long, text string"))
+    sung = {d: re.sub("_+", " ", re.sub(r"(?<=[^\W\d_])\s*-\s*(?=[^\W\d_])", "", t.replace(" to ", "_").replace("ti", "t - i"))) for d, t in enumerate(DASHED)}
+    assert {r["doc_id"]: r["digest"] for r in text_queries.sung_syllables(spark, sf).collect()} == {d: digest(t) for d, t in sung.items()}
+    want = {}
+    for d, t in enumerate(DASHED):
+        source, out = t.replace(" of ", " — "), t.replace(" of ", " - ")
+        dash = re.search(r"\s([—–])(?=\s)", source)
+        want[d] = digest(out.replace(" - ", f" {dash[1]} ") if dash and " - " not in source else out)
+    assert {r["doc_id"]: r["digest"] for r in text_queries.restored_dashes(spark, sf).collect()} == want
