@@ -141,7 +141,7 @@ def shapes_in_gaps(spark, sf):
 @query(f"""WITH {_BOXES}, {_POINTS}, h AS (SELECT p.doc_id, p.page_no, p.n, string_agg(x.n::VARCHAR, ',' ORDER BY x.n) AS held FROM p JOIN x ON p.doc_id = x.doc_id AND p.page_no = x.page_no WHERE p.x BETWEEN x0 AND x1 AND p.y BETWEEN y0 AND y1 AND x.n % 3 = 0 GROUP BY 1, 2, 3)
 SELECT doc_id, page_no, n, coalesce(held, '') AS held FROM p LEFT JOIN h USING (doc_id, page_no, n)""")
 def point_in_block(spark, sf):
-    blocks = _boxes(spark, sf).where("n % 3 = 0").withColumnRenamed("n", "b")
+    blocks = _boxes(spark, sf).withColumnRenamed("n", "b")
     return ocr.block_of(_points(spark, sf), blocks).select("doc_id", "page_no", "n", F.array_join(F.transform("held", lambda b: b.cast("string")), ",").alias("held"))
 
 

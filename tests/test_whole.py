@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from foliolake.llm import toxicity
-from foliolake.operators import layout
+from foliolake.operators import language, layout
 from foliolake.plans import layout_queries, text_queries
 
 
@@ -127,3 +127,29 @@ def test_documents_with_hyphens_and_dashes_count(spark, tmp_path):
         dash = re.search(r"\s([—–])(?=\s)", source)
         want[d] = digest(out.replace(" - ", f" {dash[1]} ") if dash and " - " not in source else out)
     assert {r["doc_id"]: r["digest"] for r in text_queries.restored_dashes(spark, sf).collect()} == want
+
+
+def test_profiles_learn_from_every_document(spark, tmp_path):
+    texts = [(1, "le chat est sur la table", "fr"), (2, "the cat is on the table", "en"), (3, "die Katze ist auf dem Tisch", "de")]
+    sf = folder(spark, tmp_path, documents=spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    assert {r["doc_id"]: r["lang"] for r in text_queries.language_profiles(spark, sf).collect()} == {d: lang for d, _, lang in texts}
+
+
+def test_profiles_of_one_half_tell_the_other(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = d.where("doc_id % 2 = 1 and lang is not null and length(text) >= 200")
+    got = language.detected(odd, language.profiles(d.where("doc_id % 2 = 0")), "doc_id").withColumnRenamed("lang", "found")
+    right = got.join(odd.select("doc_id", "lang"), "doc_id").selectExpr("avg(cast(found = lang as int))").first()[0]
+    assert right >= 0.9
+
+
+def test_every_box_holds_its_points(spark, tmp_path):
+    sf = folder(spark, tmp_path, lineitem=spark.createDataFrame(items(), ITEM))
+    first = {}  # of an order on a page, the least part counts
+    for o, p, s, n, *_ in sorted(items()):
+        first.setdefault((s, n, o), (p % 4 * 130.0, 800.0 - o % 50 * 14))
+    want = {}
+    for (s, n, o), (x, y) in first.items():
+        held = [b for (t, m, b), (bx, by) in first.items() if (t, m) == (s, n) and bx <= x + 50 <= bx + 90 + b % 80 and by - b % 30 <= y - 5 <= by]
+        want[s, n, o] = ",".join(map(str, sorted(held)))
+    assert {(r["doc_id"], r["page_no"], r["n"]): r["held"] for r in layout_queries.point_in_block(spark, sf).collect()} == want
