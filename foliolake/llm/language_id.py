@@ -1,8 +1,9 @@
 """Language identification by compression.
 
 Each language has a raw-content zstandard dictionary of its own labelled
-text; a text is encoded with every dictionary, and the language whose code is
-smallest is chosen. ``accepted`` is false where the runner-up is almost as
+text: of each sampled document its whole text, or words from blocks all over
+it up to a share of the dictionary. A text is encoded with every dictionary,
+and the language whose code is smallest is chosen. ``accepted`` is false where the runner-up is almost as
 small.
 
 Inputs: a null text, or one without any letter, is ``und`` with score 0; ties
@@ -16,7 +17,7 @@ from collections.abc import Iterable
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -24,6 +25,8 @@ from ._common import fold, id_text, map_texts, small_batches, table
 
 #: Bounds of what is learnt: documents of each language (those of least hash), and bytes of its dictionary.
 SAMPLE_DOCS, DICT_BYTES = 96, 256 * 1024
+#: Blocks, spread over a sampled document, that its share is made of.
+SPREAD = 16
 #: Bytes of a block, and level of compression.
 BLOCK, LEVEL = 4096, 3
 #: Margins, as shares of the runner-up's size: accepted from here on, and certain.
@@ -34,6 +37,18 @@ LETTER = re.compile(r"[^\W\d_]")
 _SCHEMA = "doc_id long, lang_pred string, score double, accepted boolean"
 
 
+def spread(text: str, share: int, seed: Column) -> Column:
+    """Texts of up to ``share`` characters whole; of longer ones the words of a block from each SPREAD-th, placed by ``seed``."""
+    n, blocks = F.length(text), min(SPREAD, share)
+    width, out = share // blocks, []
+    for j in range(blocks):
+        start = F.floor(n * j / blocks)
+        room = F.greatest(F.floor(n * (j + 1) / blocks) - start - width, F.lit(0))
+        at = start + F.pmod(F.xxhash64(seed, F.lit(j)), room + 1) + 1
+        out.append(F.regexp_replace(F.substring(text, at.cast("int"), F.lit(width)), r"^\S*\s|\s\S*$", ""))
+    return F.when(n <= share, F.col(text)).otherwise(F.concat_ws(" ", *out))
+
+
 def dictionaries(docs: DataFrame, per_lang: int = SAMPLE_DOCS, size: int = DICT_BYTES) -> dict[str, bytes]:
     """Text by language, from the ``per_lang`` documents of least hash of each."""
     h = F.xxhash64(id_text(), F.length("text"))
@@ -44,7 +59,7 @@ def dictionaries(docs: DataFrame, per_lang: int = SAMPLE_DOCS, size: int = DICT_
         return {}
     hashes = sorted({r["h"] for r in chosen})
     share = max(1, size // max(1, min(per_lang, 64)))
-    part = F.substring("text", 1, share)
+    part = spread("text", share, h)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", h.alias("h"), part.alias("text"))
     # a row for each chosen hash of a language, so per_lang of a language at most, each cut to its share of the dictionary
     got = known.where(F.col("h").isin(hashes)).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from foliolake.llm import toxicity
+from foliolake.llm import language_id, toxicity
 from foliolake.operators import language, layout
 from foliolake.plans import layout_queries, text_queries
 
@@ -153,3 +153,12 @@ def test_every_box_holds_its_points(spark, tmp_path):
         held = [b for (t, m, b), (bx, by) in first.items() if (t, m) == (s, n) and bx <= x + 50 <= bx + 90 + b % 80 and by - b % 30 <= y - 5 <= by]
         want[s, n, o] = ",".join(map(str, sorted(held)))
     assert {(r["doc_id"], r["page_no"], r["n"]): r["held"] for r in layout_queries.point_in_block(spark, sf).collect()} == want
+
+
+def test_dictionaries_hold_more_than_a_long_header(spark):
+    header = "shared header " * 1000
+    texts = [(1, header + "chat noir table ronde " * 500, "fr"), (2, header + "black cat round table " * 500, "en"), (3, "kurz", "de")]
+    dicts = language_id.dictionaries(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    assert b"noir" in dicts["fr"] and b"black" in dicts["en"] and b"header" in dicts["fr"] and dicts["de"].strip() == b"kurz"
+    assert all(len(d) <= 4096 + 16 for d in dicts.values())
+    assert set(dicts["fr"].split()) == {b"shared", b"header", b"chat", b"noir", b"table", b"ronde"}
