@@ -6,10 +6,15 @@ to shorter ones, and relaxes the best score of a segmentation up to that
 position. Characters that no piece covers become byte pieces.
 
 As in the model's own normaliser, a space is written U+2581 and one is put in
-front. A literal U+2581 goes to byte pieces, so decoding restores every text.
-Unpaired surrogates can't occur in Spark strings.
-
-Inputs: a null text has null ids, an empty text none; texts are encoded whole.
+front. A literal U+2581 goes to byte pieces, by way of a character that
+neither the text nor a piece holds, so decoding restores every text. Unpaired
+surrogates can't occur in Spark strings.
+
+Inputs: a null text has null ids, an empty text none; very long texts are
+encoded whole; repeated rows each have their ids; of segmentations with equal
+scores the one whose last piece is longest, and so on back, is taken; an
+empty table gives an empty result. Columns but the keys, whatever their
+names, are not read.
 """
 
 import gc
@@ -17,6 +22,7 @@ import hashlib
 import re
 from collections import deque
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +33,6 @@ from ._common import map_texts, process_cache, small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Stands for a literal U+2581 while a text is encoded; not a character, so no piece holds it.
-_LITERAL = "﷐"
 #: Stretches of text whose ids a task remembers.
 REMEMBERED = 200_000
 #: Score of a byte piece, below any sum of real pieces for one character.
@@ -60,6 +64,7 @@ class Codec:
         for b, i in enumerate(of_byte):
             if i >= 0:
                 self.bytes_of[i] = bytes([b])
+        self.letters = frozenset(c for p in pieces if p for c in p)
         self._build({p: i for i, p in enumerate(pieces) if p})
         self.remembered, self.memory = remembered, {}
         # no piece goes on past a character before U+2581, so a text falls apart there
@@ -90,8 +95,16 @@ class Codec:
                 fail[t] = go[f].get(c, 0) if go[f].get(c, 0) != t else 0
         self.go, self.ends, self.fail, self.link, self.depth = go, ends, fail, link, depth
 
-    def viterbi(self, s: str) -> list[int]:
-        """Ids of the best segmentation; of equal ones, the one whose last piece is longest, and so on back."""
+    def _free(self, text: str) -> str:
+        """A character that neither the text nor any piece holds."""
+        held = self.letters.union(text)
+        return next(c for c in map(chr, chain(range(0xE000, 0x110000), range(0xD800))) if c not in held and not c.isspace())
+
+    def viterbi(self, s: str, literal: str | None = None) -> list[int]:
+        """Ids of the best segmentation; of equal ones, the one whose last piece is longest, and so on back.
+
+        literal: the character that stands for a U+2581 of the text itself.
+        """
         go, ends, fail, link, depth, scores = self.go, self.ends, self.fail, self.link, self.depth, self.scores
         best, from_, piece, state = [0.0], [0], [-1], 0
         for pos, c in enumerate(s, 1):
@@ -112,7 +125,7 @@ class Codec:
             if piece[pos] >= 0:
                 ids.append(piece[pos])
             else:
-                c = SPACE if s[pos - 1] == _LITERAL else s[pos - 1]
+                c = SPACE if s[pos - 1] == literal else s[pos - 1]
                 ids += [self.of_byte[b] for b in reversed((" " if s[pos - 1] == SPACE else c).encode("utf-8", "replace"))]
             pos = from_[pos]
         return ids[::-1]
@@ -129,10 +142,13 @@ class Codec:
         """Ids as little-endian 32-bit numbers."""
         if not text:
             return b""
-        s = SPACE + text.replace(SPACE, _LITERAL).replace(" ", SPACE)
+        literal = self._free(text) if SPACE in text else None
+        s = SPACE + (text.replace(SPACE, literal) if literal else text).replace(" ", SPACE)
         if not self.apart:
-            return np.array(self.viterbi(s), dtype="<i4").tobytes()
+            return np.array(self.viterbi(s, literal), dtype="<i4").tobytes()
         memory = self.memory
+        if literal:
+            return b"".join([np.array(self.viterbi(x, literal), dtype="<i4").tobytes() if literal in x else memory.get(x) or self._stretch(x) for x in self.cut.findall(s)])
         return b"".join([memory.get(x) or self._stretch(x) for x in self.cut.findall(s)])
 
     def encode(self, text: str) -> list[int]:

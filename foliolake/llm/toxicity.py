@@ -8,14 +8,20 @@ their beginnings come from labelled documents; the evidence of a document's
 distinct words is added up and calibrated to a probability.
 
 Inputs: null and empty texts have no evidence and get the calibrated score
-of none; labels other than 0 and 1, and null ones, are left out; of several
-labels of a document the largest counts.
+of none; very long texts and tokens are read whole, in time that grows with
+their length; labels other than 0 and 1, and null ones, are left out; of
+several labels of a document the largest counts; readings that cost the same
+go to the one found first; repeated rows each have a score; an empty table
+gives an empty result; without labels every document has the same low score.
+Further columns, whatever their names, are not read.
 """
 
+import os.path
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import groupby
+from functools import lru_cache, reduce
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +48,7 @@ LOOKS = {
 READ, NOT_READ, JOIN, TWICE, ONCE = 1.0, 7.0, 1.0, 0.5, 4.5
 
 _EDGE = ".,;:?\"'`*&%#~()[]{}<>/\\=^…«»“”„‘’-–—_"
-_RUNS = re.compile(r"^([!$@|+])\1+|([!$@|+])\2+$|!$")
+_MARKS = "!$@|+"
 _DOUBLED = re.compile(r"(.)\1")
 _ODD = re.compile("[" + re.escape("".join(LOOKS)) + r"]|(.)\1")
 _SIGN = r"(?:[^\W_]|[" + re.escape("".join(c for c in LOOKS if not c.isalnum())) + "])"
@@ -113,28 +119,56 @@ class Decoder:
     def __init__(self, costs: np.ndarray, remembered: int = REMEMBERED):
         self.costs, self.memory, self.remembered = costs.tolist(), {}, remembered
 
-    def viterbi(self, lattice: list[list[tuple[str, float]]]) -> tuple[str, float]:
-        """The cheapest reading; of equal ones the first in order of text. States are the last two symbols."""
-        states = {(0, 0): (0.0, "")}
-        for options in [*lattice, [(" ", 0.0)]]:
-            then: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in states.items():
+    def viterbi(self, lattice: Iterable[list[tuple[str, float]]]) -> tuple[str, float]:
+        """The cheapest reading; of equal ones the first found. States are the last two symbols.
+
+        A state points back to the one before it. What all states share is
+        written out on the way, so a long token takes time and memory in
+        proportion to its length.
+        """
+        costs, done = self.costs, []
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for k, options in enumerate(chain(lattice, [[(" ", 0.0)]])):
+            then: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, path) in states.items():
                 for out, extra in options:
                     x, y, c = a, b, cost + extra
                     for ch in out:
                         z = _symbol(ch)
-                        c += self.costs[(x * SYMBOLS + y) * SYMBOLS + z]
+                        c += costs[(x * SYMBOLS + y) * SYMBOLS + z]
                         x, y = y, z
-                    made = (c, text + out)
-                    if (x, y) not in then or made < then[x, y]:
-                        then[x, y] = made
+                    if (x, y) not in then or c < then[x, y][0]:
+                        then[x, y] = (c, (path, out))
             states = then
-        cost, text = min(states.values())
-        return text.strip(), cost
+            if len(states) == 1 or k % 4096 == 4095:
+                states = self._settled(states, done)
+        cost, path = min(states.values(), key=lambda s: s[0])
+        return "".join(done + self._back(path)).strip(), cost
 
     @staticmethod
+    def _back(path: tuple | None) -> list[str]:
+        out = []
+        while path is not None:
+            path, piece = path
+            out.append(piece)
+        return out[::-1]
+
+    @classmethod
+    def _settled(cls, states: dict, done: list[str]) -> dict:
+        """The states without the beginning that all their readings share, which goes to ``done``."""
+        if len(states) == 1:
+            (key, (cost, path)), = states.items()
+            done += cls._back(path)
+            return {key: (cost, None)}
+        read = {key: cls._back(path) for key, (_, path) in states.items()}
+        same = len(os.path.commonprefix(list(read.values())))
+        done += next(iter(read.values()))[:same]
+        return {key: (cost, reduce(lambda p, x: (p, x), read[key][same:], None)) for key, (cost, _) in states.items()}
+
+    @staticmethod
+    @lru_cache(4096)
     def run(c: str, n: int) -> list[list[tuple[str, float]]]:
-        """Readings of a character that stands ``n`` times in a row: one letter, or two."""
+        """Readings of a character that stands ``n`` times (3 for more) in a row: one letter, or two."""
         if c in LOOKS:
             reads = [(r, READ) for r in LOOKS[c]] + [(" ", NOT_READ)]
         elif c.isalpha():
@@ -148,7 +182,12 @@ class Decoder:
 
     @classmethod
     def lattice(cls, token: str) -> list[list[tuple[str, float]]]:
-        return [options for c, same in groupby(token) for options in cls.run(c, len(list(same)))]
+        return list(cls.steps(token))
+
+    @classmethod
+    def steps(cls, token: str) -> Iterator[list[tuple[str, float]]]:
+        for c, same in groupby(token):
+            yield from cls.run(c, min(3, sum(1 for _ in same)))
 
     def restore(self, token: str) -> str:
         """The words that a token stands for, in lower case, with single spaces between."""
@@ -163,16 +202,25 @@ class Decoder:
 
     def _restore(self, token: str) -> str:
         whole = token.lower().strip(_EDGE)
-        core = _RUNS.sub("", whole).strip(_EDGE)
+        core = self._bare(whole).strip(_EDGE)
         if core.isalpha() and not _DOUBLED.search(core):
             return core
         for t in (whole, core):
             if _APART.fullmatch(t):
                 return self._joined([c for c in t if c.isalnum() or c in LOOKS])[0]
         if _ODD.search(core):
-            core = self.viterbi(self.lattice(core))[0]
+            core = self.viterbi(self.steps(core))[0]
         return " ".join(_WORDS.findall(core))
 
+    @staticmethod
+    def _bare(token: str) -> str:
+        """Without a run of one mark at either end, and without a single exclamation mark at the end."""
+        if token and token[0] in _MARKS and token[:1] == token[1:2]:
+            token = token.lstrip(token[0])
+        if token and token[-1] in _MARKS and (token[-1:] == token[-2:-1] or token[-1] == "!"):
+            token = token.rstrip(token[-1])
+        return token
+
     def _joined(self, letters: list[str]) -> tuple[str, float]:
         """Letters set apart as one word, unless they are likelier as they stand; and the cost."""
         lattice = self.lattice("".join(letters))
