@@ -1,6 +1,7 @@
 """What the operators of this subpackage share."""
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,11 +32,14 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Where ``spark.checkpoint.dir`` is unset (tests on one machine), a
-    temporary folder is made and set.
+    Where ``spark.checkpoint.dir`` is unset and all runs in this process
+    (tests on one machine), a temporary folder is made and set. A cluster
+    must name its folder: no machine's own would do.
     """
     there = spark.conf.get(_CHECKPOINT, None) or spark.sparkContext.getConf().get(_CHECKPOINT)
     if not there:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{_CHECKPOINT} must name a folder that the driver and all executors share")
         own = tempfile.TemporaryDirectory(prefix="foliolake-", ignore_cleanup_errors=True)
         atexit.register(own.cleanup)
         there = f"file://{own.name}"
@@ -61,6 +65,29 @@ def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Tables written on the way to a result, which go when nothing reads them any more.
+
+    Tables that the result itself reads are made with ``stored`` and stay as
+    long as the application's folder does.
+    """
+
+    def __init__(self):
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def __call__(self, df: DataFrame, tag: str) -> DataFrame:
+        out, path = stored(df, tag)
+        self.paths.append((df.sparkSession, path))
+        return out
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        for spark, path in self.paths:
+            remove(spark, path)
+
+
 def id_text(col: str | Column = "doc_id") -> Column:
     """doc_id as text; null as the empty text."""
     c = F.col(col) if isinstance(col, str) else col

@@ -69,11 +69,10 @@ def brute_groups(texts, words, percent):
         return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
     sets = [grams(t) for t in texts]
     root = list(range(len(texts)))
+    links = [(i, j) for i in root for j in root if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
     for _ in texts:
-        for i in range(len(texts)):
-            for j in range(len(texts)):
-                if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
-                    root[i] = root[j] = min(root[i], root[j])
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
     return [len(s) for s in sets], root
 
 
