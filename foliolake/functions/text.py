@@ -7,12 +7,15 @@ classes differ: WS is all Unicode white space, LETTER any letter-like sign.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: patterns and signs that must be the same for the same results
 WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
 #: Hiragana, katakana, and the two Han blocks of ordinary text.
 CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"
 LEADERS = rf"{WS}*(?:\.{WS}*){{4,}}"
 TERMINATOR = rf"(?:[.!?…][\"'”’)\]]*{WS}+|[。！？][\"'”』】)\]]*)"
+#: All that WS holds, sign by sign.
+WS_SIGNS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SENTENCE = rf"(?s)(.+?(?:{TERMINATOR}|\z))"
 
 # fixed values: words whose full stop ends no sentence
@@ -41,7 +44,14 @@ def col(x) -> Column:
 
 def strip(x) -> Column:
     """Without white space at both ends; all Unicode white space counts."""
-    return F.regexp_replace(F.regexp_replace(col(x), rf"^{WS}+", ""), rf"{WS}+$", "")
+    return F.btrim(col(x), F.lit(WS_SIGNS))
+
+
+def without_leaders(x) -> Column:
+    """Dotted leaders as a space; texts without four dots are only counted."""
+    t = col(x)
+    dots = F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))
+    return F.when(dots >= 4, F.regexp_replace(t, LEADERS, " ")).otherwise(t)
 
 
 def blank(x) -> Column:
@@ -60,13 +70,14 @@ def count(x, pattern: str) -> Column:
 
 def translatable(x) -> Column:
     """Whether a text holds words: two letters in a row or two CJK signs, and isn't an address or a roman number."""
-    t = strip(F.regexp_replace(col(x), LEADERS, " "))
-    return F.when(t.rlike(ADDRESS) | (t.rlike(ROMAN) & (t != "")), False).otherwise((count(t, CJK) >= 2) | t.rlike(LETTER + "{2}"))
+    t = strip(without_leaders(x))
+    odd = t.rlike(ADDRESS) | (t.rlike(ROMAN) & (t != ""))
+    return (t.rlike(LETTER + "{2}") | t.rlike(f"(?s){CJK}.*{CJK}")) & ~odd
 
 
 def clean(x) -> Column:
     """Leaders to a space, private signs to a bullet, curly quotes to straight, spaced dashes to hyphens, stripped."""
-    t = F.regexp_replace(F.regexp_replace(col(x), LEADERS, " "), r"[\x{E000}-\x{F8FF}]", "•")
+    t = F.regexp_replace(without_leaders(x), r"[\x{E000}-\x{F8FF}]", "•")
     return strip(F.regexp_replace(F.translate(t, "“”", '""'), rf"(?<={WS})[—–](?={WS})", "-"))
 
 
@@ -123,16 +134,23 @@ def ends_in_abbreviation(piece) -> Column:
     return F.coalesce(bare.isin(*ABBREVIATIONS), F.lit(False))
 
 
+def _goes_on(piece: Column, before: Column) -> Column:
+    """Whether the word at the end of a piece begins in the piece before it, whose last sign is then no white space."""
+    return F.coalesce(before.rlike("[^" + WS[1:] + r"\z"), F.lit(False)) & ~F.regexp_replace(piece, TERMINATOR + r"\z", "").rlike(WS)
+
+
 def sentences(x) -> Column:
     """array<string>: pieces, joined where the first ends in an abbreviation; blank ones dropped.
 
     Blank input is its own only piece.
     """
-    def add(done: Column, piece: Column) -> Column:
-        last = F.element_at(done, -1)
-        return F.when((F.size(done) > 0) & ends_in_abbreviation(last), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, piece)))).otherwise(F.concat(done, F.array(piece)))
+    def cut(p: Column) -> Column:
+        n = F.size(p)
+        open_ = F.transform(p, lambda s, i: ends_in_abbreviation(s) & ~_goes_on(s, F.get(p, i - 1)))
+        ends = F.get(F.transform(F.array(open_), lambda o: F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.get(o, i) | (i == n - 1))), F.lit(0))
+        return F.get(F.transform(F.array(ends), lambda e: F.transform(e, lambda z, j: F.array_join(F.slice(p, F.coalesce(F.get(e, j - 1) + 2, F.lit(1)), z - F.coalesce(F.get(e, j - 1), F.lit(-1))), ""))), F.lit(0))
 
-    made = F.aggregate(pieces(x), F.array().cast("array<string>"), lambda done, p: F.when(F.size(done) == 0, F.array(p)).otherwise(add(done, p)))
+    made = F.get(F.transform(F.array(pieces(x)), lambda p: F.when(F.size(p) > 0, cut(p)).otherwise(F.array().cast("array<string>"))), F.lit(0))
     kept = F.filter(made, lambda s: ~blank(s))
     return F.when(blank(x), F.array(col(x))).otherwise(kept)
 
@@ -154,11 +172,14 @@ def join_syllables(x) -> Column:
     return F.regexp_replace(F.regexp_replace(col(x), rf"(?<={LETTER}){WS}*-{WS}*(?={LETTER})", ""), "_+", " ")
 
 
+# fixed values: what a spreadsheet cell holds that is no text: a number, an IPv4 address or block, a range of them, a MAC address
+NOT_TEXT = (r"-?\d+([.,]\d+)?", r"(\d{1,3}\.){3}\d{1,3}(/\d{1,2})?", r"(\d{1,3}\.){3}\d{1,3}\s*-\s*(\d{1,3}\.){3}\d{1,3}", r"([0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}")
+
+
 def plain_cell(x) -> Column:
-    """Whether a spreadsheet cell is text: not blank, no number, IPv4 address, block or range, no MAC address."""
-    t, ip = strip(x), r"([0-9]{1,3}\.){3}[0-9]{1,3}"
-    skip = t.rlike(r"^-?[0-9]+([.,][0-9]+)?$") | t.rlike(rf"^{ip}(/[0-9]{{1,2}})?$") | t.rlike(rf"^{ip}\s*-\s*{ip}$") | t.rlike(r"^([0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}$")
-    return (t != "") & ~skip
+    """Whether a spreadsheet cell is text: not blank and none of NOT_TEXT."""
+    t = strip(x)
+    return (t != "") & ~t.rlike("^(?:" + "|".join(NOT_TEXT) + ")$")
 
 
 def script(x) -> Column:
@@ -198,9 +219,13 @@ def score_junk(word, conf) -> Column:
     return F.when(letters == 0, ~col(word).rlike(r"^[-_—–]+$")).otherwise((letters <= 2) & (col(conf) < 50))
 
 
+# fixed values: parts of the names of serif fonts
+SERIFS = ("serif", "times", "georgia", "garamond", "cambria", "palatino", "book", "roman", "minion", "baskerville", "constantia", "charter", "century")
+
+
 def serif(font) -> Column:
     name = F.lower(col(font))
-    return name.rlike("serif|times|roman|garamond|georgia|book|minion|palatino|cambria|century") & ~F.contains(name, F.lit("sans"))
+    return name.rlike("|".join(SERIFS)) & ~F.contains(name, F.lit("sans"))
 
 
 def column_name(ref) -> Column:

@@ -1,10 +1,11 @@
 """Words that a reader found on a page image, as lines and pieces of lines."""
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import dot_leader
+from ..functions.text import direction, dot_leader, score_junk
 
 LINE = ("doc_id", "page_no", "block", "par", "line")
 #: Mean confidence below which a line is notation, and the share of such lines that makes a page of it.
@@ -101,3 +102,54 @@ def staffs(rows: DataFrame, key: str) -> DataFrame:
     cut = F.coalesce((F.col("gap") > 1.5 * F.col("usual")).cast("int"), F.lit(0))
     staff = gaps.join(usual, key, "left").withColumn("k", cut).withColumn("staff", F.sum("k").over(by))
     return staff.groupBy(key, "staff").agg(F.min("y").alias("first"), F.max("y").alias("last"), F.count("*").alias("n")).where("n >= 4").select(key, "first", "last", "n")
+
+
+def trimmed(words: DataFrame) -> DataFrame:
+    """Words of score lines without the notation read at either end; lines of nothing else go."""
+    line = W.partitionBy(*LINE)
+    sung = F.when(~score_junk("text", "conf"), F.col("word"))
+    return words.withColumns({"__a": F.min(sung).over(line), "__z": F.max(sung).over(line)}).where("word between __a and __z").drop("__a", "__z")
+
+
+def directions(words: DataFrame) -> DataFrame:
+    """Words of score lines with piece: "sung", "number" or "direction"; and span.
+
+    From the first span that reads as a direction on all spans are; bar
+    numbers that lead the first one are a piece of their own, and notation
+    read into the end of a span goes.
+    """
+    cut = spans(words)
+    ordered = F.array_sort(F.collect_list(F.struct("word", "text")))
+    said = cut.groupBy(*LINE, "span").agg(F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("__said")).where(direction("__said"))
+    rows = cut.join(said.groupBy(*LINE).agg(F.min("span").alias("__first")), list(LINE), "left")
+    span = W.partitionBy(*LINE, "span")
+    on, back = span.orderBy("word").rowsBetween(W.unboundedPreceding, 0), span.orderBy(F.desc("word")).rowsBetween(W.unboundedPreceding, 0)
+    digits, mark = F.col("text").rlike(r"^\p{Nd}+$").cast("int"), (score_junk("text", "conf") & F.col("text").rlike(r"\p{L}")).cast("int")
+    leads = (F.col("span") == F.col("__first")) & (F.min(digits).over(on) == 1) & (F.col("word") < F.max("word").over(span))
+    rows = rows.withColumns({"__lead": F.coalesce(leads, F.lit(False)), "__mark": F.min(mark).over(back) == 1})
+    start = F.min(F.when(~F.col("__lead"), F.col("word"))).over(span)
+    sung = F.col("__first").isNull() | (F.col("span") < F.col("__first"))
+    piece = F.when(sung, "sung").when(F.col("__lead"), "number").when(F.col("__mark") & (F.col("word") > start), None).otherwise("direction")
+    return rows.withColumn("piece", piece).where("piece is not null").drop("__first", "__lead", "__mark")
+
+
+def direction_groups(lines_: DataFrame) -> DataFrame:
+    """(page, n, first): direction lines (page, n, block, par, x0, y0, x1, y1) with the first line of the direction that they carry on.
+
+    A line carries on the oldest open direction of its band whose last line
+    is just above and overlaps it side to side; the lines of a page are
+    walked in order.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in lines_.schema.fields}
+
+    def walk(page: pd.DataFrame) -> pd.DataFrame:
+        open_, firsts = {}, []
+        for r in page.sort_values("n").itertuples():
+            height = r.y1 - r.y0
+            on = (k for k, last in open_.items() if (last.block, last.par) == (r.block, r.par) and last.x0 < r.x1 and r.x0 < last.x1 and -0.5 * height <= r.y0 - last.y1 <= 1.5 * height)
+            first = next(on, r.n)
+            open_[first] = r
+            firsts.append((r.doc_id, r.page_no, r.n, first))
+        return pd.DataFrame(firsts, columns=["doc_id", "page_no", "n", "first"])
+
+    return lines_.groupBy("doc_id", "page_no").applyInPandas(walk, f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, n {kinds['n']}, first {kinds['n']}")

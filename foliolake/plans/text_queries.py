@@ -35,7 +35,7 @@ def strip_sql(x: str) -> str:
 
 _SENTENCES_CTE = rf"""
   p AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_SENT}', 1)) AS s, generate_subscripts(regexp_extract_all(text, '{_SENT}', 1), 1) AS i FROM documents),
-  f AS (SELECT *, lower(regexp_replace(regexp_replace(regexp_extract(regexp_replace(s, '{_TERM}$', ''), '(\S+)$', 1), '^{_EDGE}+', ''), '{_EDGE}+$', '')) IN ({_ABBR}) AS ab FROM p),
+  f AS (SELECT *, NOT (coalesce(regexp_matches(lag(s) OVER (PARTITION BY doc_id ORDER BY i), '[^{WS[1:]}\z'), false) AND NOT regexp_matches(regexp_replace(s, '{_TERM}$', ''), '{WS}')) AND lower(regexp_replace(regexp_replace(regexp_extract(regexp_replace(s, '{_TERM}$', ''), '(\S+)$', 1), '^{_EDGE}+', ''), '{_EDGE}+$', '')) IN ({_ABBR}) AS ab FROM p),
   g AS (SELECT *, sum(CASE WHEN coalesce(prev, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT *, lag(ab) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM f)),
   s AS (SELECT doc_id, k, string_agg(s, '' ORDER BY i) AS s FROM g GROUP BY 1, 2)
 """

@@ -4,10 +4,6 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
-import numpy as np
-import pytest
-
-from foliolake.llm import language_id, toxicity
 from foliolake.operators import language, layout
 from foliolake.plans import layout_queries, text_queries
 
@@ -77,30 +73,6 @@ def test_lines_at_one_place_all_count(spark, tmp_path):
     assert figures == {k: (len(lines), " ".join(r["text"] for r in lines)) for k, lines in want.items()}
 
 
-@pytest.fixture(scope="module")
-def decoder():
-    text = " ".join(["you are an idiot and a stupid loser, no class at all, such an ass; the letter of the little pass"] * 200)
-    codes, n = toxicity._code_table(), np.zeros(toxicity.SYMBOLS**3)
-    s = codes[np.minimum(np.frombuffer(f"  {text}  ".encode("utf-32-le"), dtype="<u4"), 0x250)]
-    np.add.at(n, (s[:-2] * toxicity.SYMBOLS + s[1:-1]) * toxicity.SYMBOLS + s[2:], 1)
-    return toxicity.Decoder(-np.log((n + 0.01) / (n.reshape(-1, toxicity.SYMBOLS).sum(1).repeat(toxicity.SYMBOLS) + 1)))
-
-
-def test_doubled_letters_are_decoded(decoder):
-    assert [decoder.restore(t) for t in ("iddiot", "stuupid", "1ddiot", "letter", "little", "pass")] == ["idiot", "stupid", "idiot", "letter", "little", "pass"]
-
-
-def test_look_alikes_stand_anywhere_in_letters_set_apart(decoder):
-    tokens = ("i.d.!.o.t", "$.t.u.p.i.d", "i/d/i/o/t", "i,d,i,o,t", "l-0-$-e-r", "i.d.i.o.t!", "!.d.i.o.t")
-    assert [decoder.restore(t) for t in tokens] == ["idiot", "stupid", "idiot", "idiot", "loser", "idiot", "idiot"]
-    assert decoder.restore("455") == "ass"
-
-
-@pytest.mark.parametrize("text", ["$ t u p i d", "s  t  u  p  i  d", "s\tt\tu\tp\ti\td", "s\nt\nu\np\ni\nd", "s t  u p   ! d", "i d i o t  s t u p i d"])
-def test_any_white_space_sets_letters_apart(decoder, text):
-    assert "stupid" in decoder.words(text)
-
-
 def test_long_chains_are_one_component(spark):
     """A page of 300 cells in one chain, in an order that label by label goes hop by hop, and a page of pairs."""
     cells = [(1, 1, n, 10.0, 7.0 if n == 299 else 9.0) for n in range(300)] + [(1, 2, n, 10.0, 7.0 + n % 2) for n in range(20)] + [(1, 3, 1, 10.0, 3.0)]
@@ -153,12 +125,3 @@ def test_every_box_holds_its_points(spark, tmp_path):
         held = [b for (t, m, b), (bx, by) in first.items() if (t, m) == (s, n) and bx <= x + 50 <= bx + 90 + b % 80 and by - b % 30 <= y - 5 <= by]
         want[s, n, o] = ",".join(map(str, sorted(held)))
     assert {(r["doc_id"], r["page_no"], r["n"]): r["held"] for r in layout_queries.point_in_block(spark, sf).collect()} == want
-
-
-def test_dictionaries_hold_more_than_a_long_header(spark):
-    header = "shared header " * 1000
-    texts = [(1, header + "chat noir table ronde " * 500, "fr"), (2, header + "black cat round table " * 500, "en"), (3, "kurz", "de")]
-    dicts = language_id.dictionaries(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
-    assert b"noir" in dicts["fr"] and b"black" in dicts["en"] and b"header" in dicts["fr"] and dicts["de"].strip() == b"kurz"
-    assert all(len(d) <= 4096 + 16 for d in dicts.values())
-    assert set(dicts["fr"].split()) == {b"shared", b"header", b"chat", b"noir", b"table", b"ronde"}
