@@ -66,9 +66,14 @@ def matrix(col: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
 
 
 def sample(cls: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """The vectors of the least class ids, which are hashes."""
-    got = cls.select("cid", "vec").orderBy("cid").limit(rows).select("vec").collect()
-    return np.array([r[0] for r in got], dtype=np.float64)
+    """``rows`` vectors or so, whatever the table's size: those whose class id, a hash, lies below a bound."""
+    n = cls.count()
+    some = cls.select("cid", "vec")
+    if n > rows:
+        # the first eight hexadecimal digits of the hash; a tenth more, so that hardly ever fewer than ``rows`` come
+        some = some.where(F.conv(F.substring("cid", 1, 8), 16, 10).cast("long") < int(2**32 * min(1.0, 1.1 * rows / n)))
+    got = sorted(some.collect())[:rows]
+    return np.array([r["vec"] for r in got], dtype=np.float64)
 
 
 @dataclass

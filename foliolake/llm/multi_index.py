@@ -8,8 +8,12 @@ product of the original vectors. The distance of a half is the negative inner
 product with its centroid, so that sums of halves order pairs as the measure
 orders vectors.
 
-Inputs: null ids, null, empty, zero or non-finite vectors take no part; equal
-vectors are searched once; an empty table gives an empty result.
+Inputs: null ids, null, empty, zero or non-finite vectors take no part, nor
+do vectors of another length than the commonest, whose product with others
+isn't defined; of several rows of one id the least vector counts; equal
+vectors are searched once, and each of their ids is found; ties go to the
+smaller id; fewer candidates than k are all returned; an empty table gives an
+empty result. Further columns, whatever their names, are not read.
 """
 
 import heapq
@@ -22,11 +26,13 @@ from pyspark.sql import functions as F
 from ._common import stored
 from ._vectors import SAMPLE_ROWS, Segments, class_id, classes, matrix, ranked, sample, search, top, usable
 
-#: Largest codebook of a half.
-CENTROIDS = 64
+#: Codebook of a half (all vectors learnt from, if fewer).
+CENTROIDS = 128
 #: A query's candidates: this share of the index, and so many at least.
-#: Recall rises with the share: on vectors with hardly any clusters 0.5 finds 0.95 of the true neighbours.
-SHARE, LEAST = 0.5, 2_000
+#: Recall rises with the share and the codebook: on vectors without clusters, the hardest, 0.4 finds over 0.9 of the true neighbours.
+SHARE, LEAST = 0.4, 64
+#: Queries that walk the cells in one task.
+WALKS = 256
 
 _RESULT = "query_id long, rank int, vec_id long, score double"
 
@@ -91,9 +97,8 @@ def knn(
     if not len(learnt):
         return spark.createDataFrame([], _RESULT)
     half = max(1, learnt.shape[1] // 2)
-    size = int(min(centroids, len(learnt), max(4, 2 ** round(np.log2(max(1.0, n**0.5 / 2))))))
-    c1 = codebook(learnt[:, :half], min(size, len(learnt)))
-    c2 = codebook(learnt[:, half:], min(size, len(learnt))) if learnt.shape[1] > half else np.zeros((1, 0))
+    c1 = codebook(learnt[:, :half], min(centroids, len(learnt)))
+    c2 = codebook(learnt[:, half:], min(centroids, len(learnt))) if learnt.shape[1] > half else np.zeros((1, 0))
     k2 = len(c2)
 
     def celled(batches):
@@ -144,7 +149,9 @@ def knn(
     asked, _ = stored(own.groupBy("cid").agg(F.min("vec").alias("vec")), "queries")
     dealt_schema = "g int, s int, cid string, vec array<double>, ids array<long>, cell int"
     probe_schema = "g int, s int, cid string, vec array<double>, until double"
-    hits = search(index.mapInArrow(dealt, dealt_schema), asked.mapInArrow(walked, probe_schema), asked.count(), meet, ["cell", "until"])
+    n_asked = asked.count()
+    walks = asked.repartition(max(1, -(-n_asked // WALKS)), "cid").mapInArrow(walked, probe_schema)
+    hits = search(index.mapInArrow(dealt, dealt_schema), walks, n_asked, meet, ["cell", "until"])
     return ranked(hits, own.select("query_id", F.col("cid").alias("qcid")), k)
 
 

@@ -11,8 +11,11 @@ are skipped and all others are compared.
 
 Components are whole numbers, so scores are exact while they are below 2^53.
 Inputs: null ids, null or empty vectors and vectors with null or non-finite
-components take no part; equal vectors are searched once; an empty table
-gives an empty result.
+components take no part, nor do vectors of another length than the commonest,
+whose product with others isn't defined; of several rows of one id the least
+vector counts; equal vectors are searched once, and each of their ids is
+found; ties go to the smaller id; an empty table gives an empty result.
+Further columns, whatever their names, are not read.
 """
 
 import numpy as np
