@@ -3,6 +3,14 @@
 Toxic documents go; of near duplicates one stays; personal data is blotted
 out; sources are mixed to their target weights; what is left becomes token
 ids.
+
+Inputs, as each stage's operator says: a null or empty text is not toxic, is
+no duplicate, holds nothing private, and ends at the mix, which takes words;
+of repeated rows one stays; of a tie the least doc_id stays; very long texts
+go through whole; a null source is a source; a null doc_id is an id of its
+own; an empty table gives an empty one with the last stage's columns. Further
+columns pass through all stages but the last, which gives (doc_id, ids);
+names that begin with ``__fl_`` are the operators'.
 """
 
 import uuid

@@ -9,7 +9,8 @@ small.
 Inputs: a null text, or one without any letter, is ``und`` with score 0; ties
 go to the language that sorts first; without labelled rows every text is
 ``und``. Texts are encoded whole, in blocks, so that long texts lean on the
-dictionary as short ones do.
+dictionary as short ones do; repeated rows each have a result; an empty table
+gives an empty one. Further columns, whatever their names, are not read.
 """
 
 import re

@@ -13,7 +13,10 @@ before, so that one endless dialogue is spread over many tasks.
 Inputs: a null or blank role is the speaker ``unknown``; a null text is
 empty; null turns come last; equal turns are ordered by role, then text;
 repeated rows count each; a null conv_id is a dialogue of its own; dialogues
-without participants have no rows. Control marks within a text are broken up.
+without participants have no rows, nor has an empty table; very long texts
+are rendered whole. Control marks within a text or a speaker's name are broken
+up, and line feeds in a name become spaces, so neither can begin a turn.
+Further columns, whatever their names, are not read.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,11 +29,19 @@ PART = 256
 OPEN, CLOSE, SYSTEM = "<|im_start|>", "<|im_end|>", "system"
 
 
+def _harmless(x: Column) -> Column:
+    return F.replace(x, F.lit("<|im_"), F.lit("<| im_"))
+
+
+def _speaker() -> Column:
+    name = F.trim(F.replace("role", F.lit("\n"), F.lit(" ")))
+    return F.coalesce(F.when(name != "", _harmless(name)), F.lit("unknown"))
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """(conv_id, nth, speaker, text): messages numbered from 1 in each dialogue."""
-    speaker = F.coalesce(F.when(F.trim("role") != "", F.trim("role")), F.lit("unknown"))
-    text = F.replace(F.coalesce("text", F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
-    rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), speaker.alias("speaker"), text.alias("text"))
+    text = _harmless(F.coalesce("text", F.lit("")))
+    rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), _speaker().alias("speaker"), text.alias("text"))
     order = [F.col("conv_id").asc(), F.col("turn").asc_nulls_last(), F.col("speaker"), F.col("text")]
     # a random last key parts even rows that are alike; the table is written, so a task that runs again changes nothing
     spread, _ = stored(rows.withColumn("salt", F.rand(5)).repartitionByRange(*order[:3], F.col("salt")).withColumn("piece", F.spark_partition_id()).drop("salt"), "messages")
@@ -47,7 +58,7 @@ def rotations(df: DataFrame, part: int = PART) -> DataFrame:
     mask is an array of (start, end) in characters of ``text``, end exclusive.
     """
     messages = numbered(df)
-    who = df.select(F.col("conv_id").cast("long").alias("c"), F.coalesce(F.when(F.trim("role") != "", F.trim("role")), F.lit("unknown")).alias("perspective"))
+    who = df.select(F.col("conv_id").cast("long").alias("c"), _speaker().alias("perspective"))
     who = who.where(F.col("perspective") != SYSTEM).distinct()
     seen = messages.join(who, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     own = F.col("speaker") == F.col("perspective")
@@ -78,7 +89,7 @@ def rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH m AS (
-  SELECT conv_id, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<| im_') AS text, turn FROM conversations
+  SELECT conv_id, coalesce(replace(nullif(trim(replace(role, chr(10), ' ')), ''), '<|im_', '<| im_'), 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<| im_') AS text, turn FROM conversations
 ), n AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, speaker, text) AS nth FROM m
 ), w AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m WHERE speaker <> 'system'),

@@ -7,7 +7,10 @@ whole batch of documents at once, one step for each level.
 Inputs: null and empty texts have all statistics 0 and are scored like any
 other; labels other than 0 and 1, and null ones, are left out; of several
 labels of a document the largest counts; without both labels the score is
-the constant share of label 1 (0.5 if there are none).
+the constant share of label 1 (0.5 if there are none); very long texts are
+read whole; cuts that gain the same go to the first feature, then the lowest
+edge; repeated rows each have a score; an empty table gives an empty result.
+Further columns, whatever their names, are not read.
 """
 
 from dataclasses import dataclass

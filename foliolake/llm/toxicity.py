@@ -140,7 +140,7 @@ class Decoder:
                     if (x, y) not in then or c < then[x, y][0]:
                         then[x, y] = (c, (path, out))
             states = then
-            if len(states) == 1 or k % 4096 == 4095:
+            if k % 256 == 255:
                 states = self._settled(states, done)
         cost, path = min(states.values(), key=lambda s: s[0])
         return "".join(done + self._back(path)).strip(), cost
@@ -156,10 +156,6 @@ class Decoder:
     @classmethod
     def _settled(cls, states: dict, done: list[str]) -> dict:
         """The states without the beginning that all their readings share, which goes to ``done``."""
-        if len(states) == 1:
-            (key, (cost, path)), = states.items()
-            done += cls._back(path)
-            return {key: (cost, None)}
         read = {key: cls._back(path) for key, (_, path) in states.items()}
         same = len(os.path.commonprefix(list(read.values())))
         done += next(iter(read.values()))[:same]
