@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..storage import remove, stored
+
 PAGE = ("doc_id", "page_no")
 
 
@@ -166,21 +168,23 @@ def levelled(cells: DataFrame, edges: DataFrame, least: float = 6.0) -> DataFram
 
     cells: (page, n, base, target). edges: (page, a, b), links within a page.
     Labels spread along links, and jump to the label of the cell they name,
-    until none changes, for all pages at once.
+    until none changes, for all pages at once. Each round's labels are written
+    to the shared folder, and those of the round before go.
     """
     page = list(PAGE)
-    linked = edges.union(edges.select(*page, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    label = cells.select(*page, "n", F.col("n").alias("label"))
+    linked, links_path = stored(edges.union(edges.select(*page, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cell-links")
+    label, path = stored(cells.select(*page, "n", F.col("n").alias("label")), "cell-labels")
     while True:
         near = linked.join(label.select(*page, F.col("n").alias("b"), F.col("label").alias("l")), [*page, "b"]).groupBy(*page, F.col("a").alias("n")).agg(F.min("l").alias("l"))
-        then = label.join(near, [*page, "n"], "left").select(*page, "n", F.least("label", F.coalesce("l", "label")).alias("label"), (F.col("l") < F.col("label")).alias("moved"))
-        then = then.checkpoint() if then.sparkSession.sparkContext.getCheckpointDir() else then.localCheckpoint()
-        label = then.drop("moved")
+        then, to = stored(label.join(near, [*page, "n"], "left").select(*page, "n", F.least("label", F.coalesce("l", "label")).alias("label"), (F.col("l") < F.col("label")).alias("moved")), "cell-labels")
+        remove(cells.sparkSession, path)
+        path, label = to, then.drop("moved")
         if then.where("moved").isEmpty():
             break
         # the cell that a label names is in the same component, so its own label is as good
         up = label.select(*page, F.col("n").alias("label"), F.col("label").alias("l")).distinct()
         label = label.join(up, [*page, "label"]).select(*page, "n", F.col("l").alias("label"))
+    remove(cells.sparkSession, links_path)
     by = W.partitionBy(*page, "label")
     got = cells.join(label, [*page, "n"])
     least_ = F.min("target").over(by)

@@ -9,6 +9,7 @@ from pyspark.sql import types as TY
 from ..functions import text as T
 from ..operators import jobs, quality
 from ..sources import files
+from ..storage import shared_dir
 from ..streaming import jobs as streams
 from ._tables import table
 
@@ -168,11 +169,13 @@ def format_round_trips(spark, sf):
 
 
 def _run(stream, mode: str):
-    """All that is there now, through a stream into a table in memory."""
-    spark, name = stream.sparkSession, f"s{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """All that is there now, through a stream into files; each batch has a folder of its own, so one that runs again replaces itself."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/foliolake/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    put = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    put.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out/batch={n}")).start().awaitTermination()
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out/batch=-1")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
 
 
 def _events(spark, sf):
