@@ -69,6 +69,10 @@ def _symbol(c: str) -> int:
     return SYMBOLS - 1 if c.isalpha() else 0
 
 
+#: The step after a token.
+_END = [[(" ", 0.0, (0,))]]
+
+
 def _code_table() -> np.ndarray:
     """Symbol of each code point below 0x250, upper-case like lower-case; the last is for all beyond."""
     return np.array([_symbol(chr(i).lower()[:1]) for i in range(0x250)] + [SYMBOLS - 1], dtype=np.int64)
@@ -119,31 +123,33 @@ class Decoder:
     def __init__(self, costs: np.ndarray, remembered: int = REMEMBERED):
         self.costs, self.memory, self.remembered = costs.tolist(), {}, remembered
 
-    def viterbi(self, lattice: Iterable[list[tuple[str, float]]]) -> tuple[str, float]:
-        """The cheapest reading; of equal ones the first found. States are the last two symbols.
+    def viterbi(self, lattice: Iterable[list[tuple]], before: int = 0) -> tuple[str, float]:
+        """The cheapest reading; of equal ones the first found.
 
-        A state points back to the one before it. What all states share is
-        written out on the way, so a long token takes time and memory in
-        proportion to its length.
+        A state is the last two symbols as one number, ``before`` the first.
+        It points back to the one before it; what all states share is written
+        out on the way, so a long token takes time and memory in proportion
+        to its length.
         """
-        costs, done = self.costs, []
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for k, options in enumerate(chain(lattice, [[(" ", 0.0)]])):
-            then: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for (a, b), (cost, path) in states.items():
-                for out, extra in options:
-                    x, y, c = a, b, cost + extra
-                    for ch in out:
-                        z = _symbol(ch)
-                        c += costs[(x * SYMBOLS + y) * SYMBOLS + z]
-                        x, y = y, z
-                    if (x, y) not in then or c < then[x, y][0]:
-                        then[x, y] = (c, (path, out))
+        costs, n, square, done = self.costs, SYMBOLS, SYMBOLS * SYMBOLS, []
+        states: dict[int, tuple[float, tuple | None]] = {before: (0.0, None)}
+        for k, options in enumerate(chain(lattice, _END)):
+            then: dict[int, tuple[float, tuple | None]] = {}
+            for s, (cost, path) in states.items():
+                for out, extra, codes in options:
+                    x, c = s, cost + extra
+                    for z in codes:
+                        x = x * n + z
+                        c += costs[x]
+                        x %= square
+                    had = then.get(x)
+                    if had is None or c < had[0]:
+                        then[x] = (c, (path, out))
             states = then
             if k % 256 == 255:
                 states = self._settled(states, done)
         cost, path = min(states.values(), key=lambda s: s[0])
-        return "".join(done + self._back(path)).strip(), cost
+        return "".join(done + self._back(path))[:-1], cost  # without the sign of the end
 
     @staticmethod
     def _back(path: tuple | None) -> list[str]:
@@ -163,30 +169,35 @@ class Decoder:
 
     @staticmethod
     @lru_cache(4096)
-    def run(c: str, n: int) -> list[list[tuple[str, float]]]:
-        """Readings of a character that stands ``n`` times (3 for more) in a row: one letter, or two."""
+    def run(c: str, n: int) -> list[list[tuple[str, float, tuple[int, ...]]]]:
+        """Readings, with costs and symbols, of a character that stands ``n`` times (3 for more) in a row: one letter, or two."""
         if c in LOOKS:
             reads = [(r, READ) for r in LOOKS[c]] + [(" ", NOT_READ)]
         elif c.isalpha():
             reads = [(c, 0.0)]
         else:
-            return [[(" ", 0.0)]]
-        if n == 1:
-            return [reads]
-        again = [*reads, ("", ONCE)] if n == 2 else [*((r, cost + TWICE) for r, cost in reads), ("", 0.0)]
-        return [reads, again]
+            reads, n = [(" ", 0.0)], 1
+        again = [] if n == 1 else [*reads, ("", ONCE)] if n == 2 else [*((r, cost + TWICE) for r, cost in reads), ("", 0.0)]
+        return [[(out, cost, tuple(map(_symbol, out))) for out, cost in options] for options in (reads, again) if options]
 
     @classmethod
-    def lattice(cls, token: str) -> list[list[tuple[str, float]]]:
+    def lattice(cls, token: str) -> list[list[tuple]]:
         return list(cls.steps(token))
 
     @classmethod
-    def steps(cls, token: str) -> Iterator[list[tuple[str, float]]]:
+    def steps(cls, token: str) -> Iterator[list[tuple]]:
         for c, same in groupby(token):
             yield from cls.run(c, min(3, sum(1 for _ in same)))
 
     def restore(self, token: str) -> str:
         """The words that a token stands for, in lower case, with single spaces between."""
+        return self._known(token.lower())
+
+    def _known(self, token: str) -> str:
+        """``restore`` of a token in lower case; what takes more than a look is remembered."""
+        core = token if token.isalpha() else token.strip(_EDGE)
+        if core.isalpha() and not _DOUBLED.search(core):
+            return core
         got = self.memory.get(token)
         if got is None:
             got = self._restore(token)
@@ -197,15 +208,22 @@ class Decoder:
         return got
 
     def _restore(self, token: str) -> str:
-        whole = token.lower().strip(_EDGE)
+        whole = token.strip(_EDGE)
         core = self._bare(whole).strip(_EDGE)
         if core.isalpha() and not _DOUBLED.search(core):
             return core
         for t in (whole, core):
             if _APART.fullmatch(t):
                 return self._joined([c for c in t if c.isalnum() or c in LOOKS])[0]
-        if _ODD.search(core):
-            core = self.viterbi(self.steps(core))[0]
+        odd = [m.span() for m in _ODD.finditer(core)]
+        if odd:
+            # what stands before is certain, and after two certain signs nothing that follows can matter
+            first, last = odd[0][0], odd[-1][1]
+            while last < len(core) and core[last] == core[last - 1]:
+                last += 1
+            before = [_symbol(c) for c in core[max(0, first - 2) : first]]
+            got = self.viterbi(self.steps(core[first : last + 2]), (before[-2] if len(before) > 1 else 0) * SYMBOLS + (before[-1] if before else 0))[0]
+            core = core[:first] + got + core[last + 2 :]
         return " ".join(_WORDS.findall(core))
 
     @staticmethod
@@ -221,10 +239,10 @@ class Decoder:
         """Letters set apart as one word, unless they are likelier as they stand; and the cost."""
         lattice = self.lattice("".join(letters))
         if letters[-1] == "!":
-            lattice[-1] = [*lattice[-1], ("", 0.0)]  # a mark at the end
+            lattice[-1] = [*lattice[-1], ("", 0.0, ())]  # a mark at the end
         joined, cost = self.viterbi(lattice)
         cost += JOIN * (len(letters) - 1)
-        apart = [self.viterbi(self.lattice(c)) for c in letters]
+        apart = [(w.strip(), c) for w, c in (self.viterbi(self.lattice(c)) for c in letters)]
         if cost >= sum(c for _, c in apart):
             joined, cost = " ".join(w for w, _ in apart if w), sum(c for _, c in apart)
         return " ".join(joined.split()), cost
@@ -247,9 +265,11 @@ class Decoder:
         if not text:
             return set()
         found = set()
-        for got in set(map(self.restore, set(text.split()))):
-            if got:
+        for got in map(self._known, set(text.lower().split())):
+            if " " in got:
                 found.update(got.split(" "))
+            else:
+                found.add(got)
         for m in _SPACED.finditer(text):
             for got, _ in self._spaced(m[0]):
                 found.update(got.split(" "))

@@ -17,10 +17,10 @@ def decoder():
 def plain_viterbi(decoder, lattice):
     """Readings as whole texts in each state."""
     n, states = toxicity.SYMBOLS, {(0, 0): (0.0, "")}
-    for options in [*lattice, [(" ", 0.0)]]:
+    for options in [*lattice, [(" ", 0.0, (0,))]]:
         then = {}
         for (a, b), (cost, text) in states.items():
-            for out, extra in options:
+            for out, extra, _ in options:
                 x, y, c = a, b, cost + extra
                 for ch in out:
                     z = toxicity._symbol(ch)
@@ -38,7 +38,7 @@ def test_back_pointers_find_the_cheapest_reading(decoder):
         lattice = decoder.lattice("".join(rng.choice("ab01133$!x") for _ in range(n)))
         cost, text = plain_viterbi(decoder, lattice)
         got = decoder.viterbi(iter(lattice))
-        assert got[1] == pytest.approx(cost) and (n > 5000 or got[0] == text.strip())
+        assert got[1] == pytest.approx(cost) and (n > 5000 or got[0].strip() == text.strip())
 
 
 def test_time_grows_with_the_length_of_a_token(decoder):
