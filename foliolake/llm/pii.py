@@ -361,7 +361,7 @@ def _sampled(docs: DataFrame, n_docs: int, most: int) -> list[tuple]:
     text = F.coalesce("text", F.lit(""))
     some = docs.select(text.alias("text"), F.xxhash64(F.lit("pii"), text).alias("h"))
     if n > n_docs:
-        some = some.where(F.abs(F.col("h") / 2**63) < n_docs / n)
+        some = some.where(F.abs(F.col("h").cast("double")) < 2.0**63 * n_docs / n)
     out = []
     for kind in KINDS:
         good = F.filter(matches(F.col("text"), BASE[kind], _worth(kind, F.col("text"))), lambda m: valid(kind, m["s"]))
