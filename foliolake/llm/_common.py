@@ -1,22 +1,18 @@
 """What the operators of this subpackage share."""
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import remove, shared_dir, stored  # noqa: F401  for the operators
+
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows of one Arrow batch; long texts make batches of many rows heavy.
 BATCH_ROWS = 1000
 
-_CHECKPOINT = "spark.checkpoint.dir"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,42 +25,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Where ``spark.checkpoint.dir`` is unset and all runs in this process
-    (tests on one machine), a temporary folder is made and set. A cluster
-    must name its folder: no machine's own would do.
-    """
-    there = spark.conf.get(_CHECKPOINT, None) or spark.sparkContext.getConf().get(_CHECKPOINT)
-    if not there:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError(f"{_CHECKPOINT} must name a folder that the driver and all executors share")
-        own = tempfile.TemporaryDirectory(prefix="foliolake-", ignore_cleanup_errors=True)
-        atexit.register(own.cleanup)
-        there = f"file://{own.name}"
-        spark.conf.set(_CHECKPOINT, there)
-    return there.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that ``stored`` wrote, through Spark's file system."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """``df`` written to the shared folder and read again, and its path.
-
-    Later steps read whole files there, so a lost executor costs no lineage.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/foliolake/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 class Scratch:
     """Tables written on the way to a result, which go when nothing reads them any more.
 
