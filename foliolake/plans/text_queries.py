@@ -33,14 +33,19 @@ def strip_sql(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '^{WS}+', ''), '{WS}+$', '')"
 
 
-_SENTENCES_CTE = rf"""
-  p AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_SENT}', 1)) AS s, generate_subscripts(regexp_extract_all(text, '{_SENT}', 1), 1) AS i FROM documents),
-  f AS (SELECT *, NOT (coalesce(regexp_matches(lag(s) OVER (PARTITION BY doc_id ORDER BY i), '[^{WS[1:]}\z'), false) AND NOT regexp_matches(regexp_replace(s, '{_TERM}$', ''), '{WS}')) AND lower(regexp_replace(regexp_replace(regexp_extract(regexp_replace(s, '{_TERM}$', ''), '(\S+)$', 1), '^{_EDGE}+', ''), '{_EDGE}+$', '')) IN ({_ABBR}) AS ab FROM p),
-  g AS (SELECT *, sum(CASE WHEN coalesce(prev, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT *, lag(ab) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM f)),
-  s AS (SELECT doc_id, k, string_agg(s, '' ORDER BY i) AS s FROM g GROUP BY 1, 2)
+def _sentences_cte(rows: str = "documents", key: str = "doc_id") -> str:
+    """p, f, g and s (key, k, s): the sentences of ``text`` of each of the rows."""
+    return rf"""
+  p AS (SELECT {key}, unnest(regexp_extract_all(text, '{_SENT}', 1)) AS s, generate_subscripts(regexp_extract_all(text, '{_SENT}', 1), 1) AS i FROM {rows}),
+  f AS (SELECT *, NOT (coalesce(regexp_matches(lag(s) OVER (PARTITION BY {key} ORDER BY i), '[^{WS[1:]}\z'), false) AND NOT regexp_matches(regexp_replace(s, '{_TERM}$', ''), '{WS}')) AND lower(regexp_replace(regexp_replace(regexp_extract(regexp_replace(s, '{_TERM}$', ''), '(\S+)$', 1), '^{_EDGE}+', ''), '{_EDGE}+$', '')) IN ({_ABBR}) AS ab FROM p),
+  g AS (SELECT *, sum(CASE WHEN coalesce(prev, false) THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY i) AS k FROM (SELECT *, lag(ab) OVER (PARTITION BY {key} ORDER BY i) AS prev FROM f)),
+  s AS (SELECT {key}, k, string_agg(s, '' ORDER BY i) AS s FROM g GROUP BY 1, 2)
 """
 
 
+_SENTENCES_CTE = _sentences_cte()
+
+
 @query(f"WITH {_SENTENCES_CTE} SELECT doc_id, count(*) AS n_sentences, max(length(s)) AS longest, md5(string_agg(s, '|' ORDER BY k)) AS digest FROM s WHERE {strip_sql('s')} <> '' GROUP BY 1")
 def sentence_split(spark, sf):
     # a filter on the pieces would be pushed down and cut the text once more
@@ -73,6 +78,14 @@ def normalized_spaces(spark, sf):
 
 
 _DIRTY = "'“' || replace(replace(text, ' of ', ' — '), ' in ', ' . . . . ') || '” ' || chr(57345)"
+
+
+def _clean_sql(x: str) -> str:
+    # neighbouring dashes share their white space, which a second pass finds
+    bare = f"regexp_replace(regexp_replace({x}, '{T.LEADERS}', ' ', 'g'), '[\\x{{E000}}-\\x{{F8FF}}]', '•', 'g')"
+    return strip_sql(f"regexp_replace(regexp_replace(translate({bare}, '“”', '\"\"'), '({WS})[—–]({WS})', '\\1-\\2', 'g'), '({WS})[—–]({WS})', '\\1-\\2', 'g')")
+
+
 _CLEAN = f"regexp_replace(regexp_replace({_DIRTY}, '{T.LEADERS}', ' ', 'g'), '[\\x{{E000}}-\\x{{F8FF}}]', '•', 'g')"
 
 
@@ -347,3 +360,11 @@ def flagship(spark, sf):
 
 
 QUERIES["translated_documents"] = flagship
+SQL["translated_documents"] = f"""WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+  c AS (SELECT row_number() OVER () AS id, lang, line, {_clean_sql('line')} AS text FROM l WHERE {_translatable_sql('line')}),
+  {_sentences_cte('c', 'id')},
+  j AS (SELECT id, count(*) FILTER ({strip_sql('s')} <> '') AS n, string_agg({strip_sql('s')}, ' ' ORDER BY k) FILTER ({strip_sql('s')} <> '') AS joined FROM s GROUP BY 1),
+  o AS (SELECT c.*, j.n, joined, regexp_extract(line, '{WS}([—–]){WS}', 1) AS dash FROM c JOIN j USING (id)),
+  r AS (SELECT *, CASE WHEN dash = '' OR contains(line, ' - ') THEN joined ELSE replace(joined, ' - ', ' ' || dash || ' ') END AS out FROM o)
+SELECT lang, CASE split_part(lang, '-', 1) WHEN 'en' THEN 'opus-mt-en-de' WHEN 'fr' THEN 'opus-mt-tc-big-fr-de' ELSE 'Helsinki-NLP/opus-mt-tc-bible-big-mul-mul' END AS model_id,
+  count(*) AS chunks, sum(n)::BIGINT AS n_sentences, sum(length(line))::BIGINT AS n_chars, count(*) FILTER ({strip_sql('out')} = text) AS unchanged FROM r GROUP BY 1, 2"""
