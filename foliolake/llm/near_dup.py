@@ -280,7 +280,8 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS
 def duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of (doc_id, text)."""
     rows = classes(df, words, percent)
-    ids = rows.where(F.col("root").isNotNull()).groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("least"))
+    # written, so that the join has a plain shuffle on both sides and one root with very many rows can be split
+    ids, _ = stored(rows.where(F.col("root").isNotNull()).groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("least")), "least-ids")
     found = rows.join(ids, F.col("root") == F.col("r"), "left")
     return found.select(
         "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
