@@ -12,21 +12,26 @@ Highest quotients are found without listing all seats: a divisor that
 certainly gives too few seats settles most of them, and only the next seats
 of each party, as many as its quotients can win, are ranked.
 
-Inputs: null and empty texts have size 0 and are never taken; a null source
-is a source; a null doc_id counts as the empty id; repeated rows count each;
-an empty table gives an empty result.
+Inputs: null and empty texts have size 0 and are never taken; very long texts
+reach over as many blocks as they fill; a null source is a source; a null
+doc_id counts as the empty id; repeated rows count each, and those that tie
+in hash and size are alike; quotients that tie go to the source or shard that
+comes first; an empty table gives an empty result. Columns named ``__fl_...``
+are the operator's; others, whatever their names, pass through.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import WORD, id_text, table
+from ._common import WORD, id_text, stored, table
 
 SEED = "foliolake"
 WEIGHTS, BUDGET, LIMIT = (3, 1, 2), 1.5, 2
 #: Words of a block, and of a shard about.
 BLOCK_WORDS, SHARD_WORDS = 32, 1 << 20
+#: Tasks over which the documents of one source are dealt.
+SALTS = 64
 
 
 def _key() -> Column:
@@ -87,21 +92,33 @@ def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
     })
 
 
-def quotas(docs: DataFrame, seed: str = SEED, block: int = BLOCK_WORDS, shard: int = SHARD_WORDS) -> DataFrame:
-    """(src, shard, n_shards, source_size, target, words, blocks, quota) of each shard of each source."""
-    rows = sized(docs.select("doc_id", "source", "text"), seed).select("source", F.col("__fl_src").alias("src"), F.col("__fl_size").alias("size"), F.col("__fl_h").alias("h"))
-    # fine shards add up to any number of them, so sizes are counted in one pass
-    by = rows.groupBy("source", "src").agg(F.sum("size").alias("source_size"))
-    goal = targets(by.select("source", "source_size")).withColumn("src", _key()).withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard)).cast("long"))
-    dealt = rows.select("src", "size", "h").join(goal.select("src", "n_shards"), "src").withColumn("shard", _shard(F.col("h"), F.col("n_shards")))
-    shards = dealt.groupBy("src", "shard").agg(F.sum("size").alias("words")).where("words > 0").withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("words") / block)).cast("long"))
+def figures(marks: DataFrame, shard: int = SHARD_WORDS) -> DataFrame:
+    """(source, src, source_size, target, n_shards) of each source of (source, __fl_src, __fl_size)."""
+    by = marks.groupBy("source", F.col("__fl_src").alias("src")).agg(F.sum("__fl_size").alias("source_size"))
+    return targets(by.select("source", "source_size")).withColumn("src", _key()).withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard)).cast("long"))
+
+
+def dealt(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """``rows`` of ``sized`` with __fl_shard and the source_size and target of their source.
+
+    A source is dealt over SALTS tasks by the hash of its documents, so that
+    one that holds a third of all rows isn't one task's.
+    """
+    salted = goal.select(F.col("src").alias("__fl_s1"), F.col("n_shards").alias("__fl_n"), F.col("source_size").alias("__fl_source_size"), F.col("target").alias("__fl_target"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__fl_s0"))
+    found = rows.withColumn("__fl_salt", F.pmod(F.xxhash64("__fl_h"), F.lit(SALTS)).cast("int")).join(salted, (F.col("__fl_src") == F.col("__fl_s1")) & (F.col("__fl_salt") == F.col("__fl_s0")))
+    return found.withColumn("__fl_shard", _shard(F.col("__fl_h"), F.col("__fl_n"))).drop("__fl_s0", "__fl_s1", "__fl_salt", "__fl_n")
+
+
+def quotas(rows: DataFrame, goal: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """(src, shard, words, blocks, quota) of each shard of each source; rows: of ``dealt``."""
+    shards = rows.groupBy(F.col("__fl_src").alias("src"), F.col("__fl_shard").alias("shard")).agg(F.sum("__fl_size").alias("words")).where("words > 0").withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("words") / block)).cast("long"))
     whole = shards.groupBy("src").agg(F.sum("blocks").alias("source_blocks")).join(goal, "src").where("source_size > 0")
     ideal = F.col("target") * F.col("source_blocks") / F.col("source_size")
     first = whole.withColumn("votes", ideal).withColumn("cap", F.col("source_blocks") * LIMIT).withColumn("all", F.lit(0))
     first = first.withColumn("seats", F.round(F.sum("votes").over(W.partitionBy("all"))).cast("long"))
-    won = apportioned(first, ["all"], [F.col("source").isNull(), F.col("source")]).select("src", "n_shards", "source_size", "target", F.col("won").alias("seats"))
+    won = apportioned(first, ["all"], [F.col("source").isNull(), F.col("source")]).select("src", F.col("won").alias("seats"))
     second = shards.join(won, "src").withColumn("votes", F.col("words").cast("double")).withColumn("cap", F.col("blocks") * LIMIT)
-    return apportioned(second, ["src"], [F.col("shard")]).select("src", "shard", "n_shards", "source_size", "target", "words", "blocks", F.col("won").alias("quota"))
+    return apportioned(second, ["src"], [F.col("shard")]).select("src", "shard", "words", "blocks", F.col("won").alias("quota"))
 
 
 def _shard(h: Column, n: Column) -> Column:
@@ -112,19 +129,15 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def planned(docs: DataFrame, seed: str = SEED, block: int = BLOCK_WORDS, shard: int = SHARD_WORDS) -> DataFrame:
-    """``docs`` with __fl_size, __fl_plan and the figures of its source.
+def planned(rows: DataFrame, shards: DataFrame, seed: str = SEED) -> DataFrame:
+    """Rows of ``dealt`` that have words, with __fl_plan; shards: of ``quotas``.
 
     __fl_plan: array of (from, n, times): words from a position (from 0),
     how many, and how often they are taken, one for each block that the
     document reaches into.
     """
-    shards = quotas(docs, seed, block, shard)
-    figures = shards.groupBy("src").agg(F.first("n_shards").alias("n_shards")).select(F.col("src").alias("__fl_s1"), F.col("n_shards").alias("__fl_n"))
-    rows = sized(docs, seed).join(figures, F.col("__fl_src") == F.col("__fl_s1"), "left")
-    rows = rows.withColumn("__fl_shard", F.when(F.col("__fl_size") > 0, _shard(F.col("__fl_h"), F.col("__fl_n"))))
     given = shards.select(F.col("src").alias("__fl_s2"), F.col("shard").alias("__fl_s3"), F.col("words").alias("__fl_w"), F.col("blocks").alias("__fl_p"), F.col("quota").alias("__fl_q"))
-    rows = rows.join(given, (F.col("__fl_src") == F.col("__fl_s2")) & (F.col("__fl_shard") == F.col("__fl_s3")), "left")
+    rows = rows.where("__fl_size > 0").join(given, (F.col("__fl_src") == F.col("__fl_s2")) & (F.col("__fl_shard") == F.col("__fl_s3")))
     stream = W.partitionBy("__fl_src", "__fl_shard").orderBy("__fl_h", "__fl_size").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("__fl_a", F.sum("__fl_size").over(stream) - F.col("__fl_size"))
     a, w, p, q, size = (F.col(f"__fl_{x}") for x in ("a", "w", "p", "q", "size"))
@@ -139,8 +152,7 @@ def planned(docs: DataFrame, seed: str = SEED, block: int = BLOCK_WORDS, shard:
         times = passes + _div((k + at + 1) * rest, p) - _div((k + at) * rest, p)
         return F.struct((lo - a).alias("from"), (hi - lo).alias("n"), times.alias("times"))
 
-    plan = F.when((size > 0) & p.isNotNull(), F.transform(F.sequence(block_of(a), block_of(a + size - 1)), one))
-    return rows.withColumn("__fl_plan", plan)
+    return rows.withColumn("__fl_plan", F.transform(F.sequence(block_of(a), block_of(a + size - 1)), one))
 
 
 def _taken() -> Column:
@@ -148,10 +160,16 @@ def _taken() -> Column:
 
 
 def mixture(docs: DataFrame, seed: str = SEED, block: int = BLOCK_WORDS, shard: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each row of ``docs``."""
-    rows = planned(docs.select("doc_id", "source", "text"), seed, block, shard)
-    goal = targets(sized(docs.select("doc_id", "source", "text")).groupBy("source").agg(F.sum("__fl_size").alias("source_size"))).withColumn("src", _key()).drop("source")
-    return rows.join(goal, F.col("__fl_src") == F.col("src")).select("doc_id", F.col("__fl_size").alias("size"), "source_size", "target", _taken().alias("taken"))
+    """(doc_id, size, source_size, target, taken) of each row of ``docs``.
+
+    Sizes are counted once and written; all else works on narrow rows.
+    """
+    marks, _ = stored(sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
+    goal, _ = stored(figures(marks, shard), "figures")
+    rows = dealt(marks, goal)
+    plan = planned(rows, quotas(rows, goal, block), seed)
+    out = ["doc_id", F.col("__fl_size").alias("size"), F.col("__fl_source_size").alias("source_size"), F.col("__fl_target").alias("target")]
+    return plan.select(*out, _taken().alias("taken")).union(rows.where("__fl_size = 0").select(*out, F.lit(0).cast("long").alias("taken")))
 
 
 def mixed(docs: DataFrame, seed: str = SEED, block: int = BLOCK_WORDS, shard: int = SHARD_WORDS) -> DataFrame:
@@ -161,9 +179,12 @@ def mixed(docs: DataFrame, seed: str = SEED, block: int = BLOCK_WORDS, shard: in
     those taken twice; white space after a word stays with it. Text is the
     original where all words are taken. n_chars follows the text.
     """
-    rows = planned(docs, seed, block, shard)
+    marks, _ = stored(sized(docs.select("doc_id", "source", "text"), seed).drop("doc_id", "text"), "sizes")
+    goal, _ = stored(figures(marks, shard), "figures")
+    shards, _ = stored(quotas(dealt(marks, goal), goal, block), "quotas")
+    rows = planned(dealt(sized(docs, seed), goal), shards, seed)
     most = F.array_max(F.transform("__fl_plan", lambda x: x["times"]))
-    rows = rows.where(F.array_max(F.transform("__fl_plan", lambda x: x["times"])) > 0).withColumn("__fl_pass", F.explode(F.sequence(F.lit(1).cast("long"), most)))
+    rows = rows.where(most > 0).withColumn("__fl_pass", F.explode(F.sequence(F.lit(1).cast("long"), most)))
     whole = F.forall("__fl_plan", lambda x: x["times"] >= F.col("__fl_pass"))
     words = F.regexp_extract_all("text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
 
