@@ -65,7 +65,7 @@ def page_trust(spark, sf):
     return p.select("c_custkey", scripts.usable("claimed").alias("usable"), scripts.trustworthy("claimed", "printed", "conf").alias("trusted"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS n, 8 + l_quantity % 20 AS height FROM lineitem),
+@query("""WITH RECURSIVE l AS (SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS n, 8 + l_quantity % 20 AS height FROM lineitem),
 w AS (SELECT doc_id, n, 0 AS page, height::DOUBLE AS used FROM l WHERE n = 1 UNION ALL
   SELECT l.doc_id, l.n, CASE WHEN used + height > 300 THEN page + 1 ELSE page END, CASE WHEN used + height > 300 THEN height ELSE used + height END::DOUBLE FROM w JOIN l ON l.doc_id = w.doc_id AND l.n = w.n + 1)
 SELECT doc_id, n::INT AS n, page::INT AS page FROM w""")
@@ -73,7 +73,7 @@ def pagination(spark, sf):
     from pyspark.sql import Window as W
 
     i = table(spark, sf, "lineitem")
-    lines = i.select(F.col("l_suppkey").alias("doc_id"), F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")).alias("n"), (8 + F.col("l_quantity") % 20).alias("height"))
+    lines = i.select(F.col("l_suppkey").alias("doc_id"), F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")).alias("n"), (8 + F.col("l_quantity") % 20).alias("height"))
     return pages.paginated(lines, 300, "doc_id").select("doc_id", "n", "page")
 
 
